@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+from xqengine.llm import quality
 from xqengine.llm.token_counts import op8_token_counts
+from xqengine.llm.token_file import op4_token_files
+from xqengine.llm.toxicity import op2_toxicity
 
-QUERIES = {"op8_token_counts": op8_token_counts}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op4_token_files": op4_token_files,
+    "op7_quality": quality.op7_quality,
+    "op8_token_counts": op8_token_counts,
+}
+ORACLE_SQL: dict[str, str] = {"op7_quality": quality.ORACLE}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xqengine.llm.common import shared_dir, table
+from xqengine.llm.common import map_arrow, shared_dir, table
 from xqengine.llm.tokens import digest_of_file, encoder
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens long"
@@ -38,7 +38,7 @@ def count_misses(misses: DataFrame, path: str) -> DataFrame:
             n = np.fromiter((count(t.as_py()) for t in b.column("text")), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("content_digest"), pa.array(n)], ["content_digest", "n_tokens"])
 
-    return misses.select("content_digest", "text").mapInArrow(run, "content_digest string, n_tokens long")
+    return map_arrow(misses.select("content_digest", "text"), run, "content_digest string, n_tokens long")
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
