@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from xqengine.llm import quality
+from xqengine.llm import mixing, quality, sharding
 from xqengine.llm.token_counts import op8_token_counts
 from xqengine.llm.token_file import op4_token_files
 from xqengine.llm.toxicity import op2_toxicity
@@ -12,5 +12,11 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op7_quality": quality.op7_quality,
     "op8_token_counts": op8_token_counts,
+    "op9_sharding": sharding.op9_sharding,
+    "op10_mixing": mixing.op10_mixing,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_quality": quality.ORACLE,
+    "op9_sharding": sharding.ORACLE,
+    "op10_mixing": mixing.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {"op7_quality": quality.ORACLE}
