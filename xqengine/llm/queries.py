@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from xqengine.llm import mixing, quality, sharding
+from xqengine.llm import decontamination, mixing, quality, sharding
+from xqengine.llm.substring_dedup import op5_substring_dedup
 from xqengine.llm.token_counts import op8_token_counts
 from xqengine.llm.token_file import op4_token_files
 from xqengine.llm.toxicity import op2_toxicity
@@ -10,12 +11,15 @@ from xqengine.llm.toxicity import op2_toxicity
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_token_files": op4_token_files,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op7_quality": quality.op7_quality,
     "op8_token_counts": op8_token_counts,
     "op9_sharding": sharding.op9_sharding,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op6_decontamination": decontamination.ORACLE,
     "op7_quality": quality.ORACLE,
     "op9_sharding": sharding.ORACLE,
     "op10_mixing": mixing.ORACLE,
