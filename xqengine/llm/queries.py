@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from xqengine.llm import decontamination, mixing, quality, sharding
 from xqengine.llm.jaccard import op3_ngram_jaccard
+from xqengine.llm.lm_scoring import op1_lm_scoring
 from xqengine.llm.substring_dedup import op5_substring_dedup
 from xqengine.llm.token_counts import op8_token_counts
 from xqengine.llm.token_file import op4_token_files
 from xqengine.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_toxicity": op2_toxicity,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_token_files": op4_token_files,

@@ -154,11 +154,12 @@ def logistic(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray,
     return w, float(b)
 
 
-def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, plus ``score``; text is read whole."""
-    keep = docs.withColumn("__text", F.col(text_col)).drop(text_col)
-    keys = [c for c in keep.columns if c != "__text"]
-    schema = ", ".join([f"`{c}` {t}" for c, t in keep.dtypes if c != "__text"] + ["score double"])
+def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep_text: bool = False, name: str = "score") -> DataFrame:
+    """``docs`` (without the text unless ``keep_text``) plus the score; text is read
+    whole."""
+    keys = [c for c in docs.columns if c != name and (keep_text or c != text_col)]
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keys] + [f"`{name}` double"])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_features weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,18 +168,18 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
         weight = np.zeros(1 << HASH_BITS)
         wanted[m.features], weight[m.features] = True, m.weights
         for batch in batches:
-            for part, b, off in pieces(batch, "__text"):
+            for part, b, off in pieces(batch, text_col):
                 r, f = hits(b, off, wanted)
                 z = np.bincount(r, weight[f], part.num_rows) + m.bias
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keys] + [pa.array(sigmoid(z))], [*keys, "score"])
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keys] + [pa.array(sigmoid(z))], [*keys, name])
 
-    return map_arrow(keep, run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **fitting) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row for each row of ``docs``."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **fitting)
-    scored = score(docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col)), model, text_col=text_col)
+    scored = score(docs.select(id_col, text_col), model, text_col=text_col)
     return scored.select(id_col, held_out(F.col(id_col), 4).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
