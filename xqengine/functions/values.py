@@ -39,7 +39,7 @@ def to_string(c: Column, kind: str) -> Column:
     size = F.abs(c)
     whole = F.when(size < 1e15, c.cast("bigint").cast("string"))
     digits = F.regexp_replace(F.format_string("%.14e", c), "[.]?0*e", "e")
-    shown = F.format_string("%.14e", F.when((size >= 1e-4) & (size < 1e15), c)).cast("decimal(38,20)")
+    shown = F.format_string("%.14e", F.when((size >= 1e-4) & (size < 1e15), c)).try_cast("decimal(38,20)")
     short = F.when(shown.isNotNull(), F.regexp_replace(shown.cast("string"), "[.]?0+$", "")).otherwise(digits)
     return F.when(F.isnan(c), "NaN").when(c == F.lit(INF), "Infinity").when(c == F.lit(-INF), "-Infinity").when((size < 1e15) & (c == F.floor(c)), whole).otherwise(short)
 
