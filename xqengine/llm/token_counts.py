@@ -45,14 +45,17 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, *, id_co
     """(doc_id, n_bytes, n_tokens, over_limit), one row for each row of ``docs``.
 
     Only the 64-hex digests and ids are grouped; texts move once, to meet the list of
-    digests to encode, in a hash join whose build side holds the ids (no sort of texts)."""
+    digests to encode, in a hash join whose build side holds the ids (no sort of texts).
+    The cache has one row a key, as only keys that it lacks are appended (one writer at a
+    time), so the last join is of two plain reads and a digest that many rows share can be
+    split."""
     spark = docs.sparkSession
     version = digest_of_file(tokenizer_path)
     path = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def stored() -> DataFrame:
-        return spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+        return spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
 
     keyed = _keyed(docs, id_col, text_col)
     # One row stands for each digest: the smallest id, and any of that id's equal rows.
@@ -62,7 +65,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, *, id_co
     a, b = keyed.alias("a"), first.hint("shuffle_hash").alias("b")
     same = F.col("a.id").eqNullSafe(F.col("b.first_id")) & (F.col("a.content_digest") == F.col("b.content_digest"))
     misses = a.join(b, same, "left_semi")
-    new = count_misses(misses, tokenizer_path).withColumn("tokenizer_digest", F.lit(version))
+    new = count_misses(misses, tokenizer_path).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")).withColumn("tokenizer_digest", F.lit(version))
     new.select("content_digest", "tokenizer_digest", "n_tokens").write.mode("append").parquet(cache_path)
     out = keyed.drop("text").join(stored(), "content_digest", "left")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
