@@ -35,14 +35,14 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def words(text: Column) -> Column:
     """The words of a text in order. Whatever stands between them becomes one blank."""
-    line = F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), BETWEEN, " "))
+    line = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), BETWEEN, " "))
     return F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, " "))
 
 
 def _hash_at(pos: str, size: int) -> str:
-    """xxhash64 of ``size`` words from 0-based ``pos``: single look-ups, so that it stays
-    in generated code."""
-    return f"xxhash64({', '.join(f'ws[{pos} + {j}]' for j in range(size))})"
+    """xxhash64 of ``size`` words from 0-based ``pos``: single look-ups (null past the end),
+    so that it stays in generated code."""
+    return f"xxhash64({', '.join(f'get(ws, {pos} + {j})' for j in range(size))})"
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int, shingle: int) -> tuple[DataFrame, DataFrame]:
@@ -73,19 +73,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     lengths = sorted(r["k"] for r in tokens.select("k").distinct().collect())  # at most ``shingle``
     tokens = side(tokens)
     texts = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("ws"))
-    # Position -1 is the document's own row; all others must meet a token.
-    by_size = ", ".join(f"named_struct('k', {k}, 'token', {_hash_at('pos', k)})" for k in lengths)
-    spread = texts.select("id", "ws", F.size("ws").alias("n_words"), F.expr("explode(sequence(-1, greatest(size(ws) - 1, -1)))").alias("pos"))
-    seen = None
-    if not lengths:
-        seen = texts.select("id", F.size("ws").alias("n_words"), F.lit(-1).alias("pos"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("long").alias("token"))
-    elif len(lengths) == 1:
-        k = lengths[0]
-        h = F.expr(f"CASE WHEN pos >= 0 AND pos + {k} <= n_words THEN {_hash_at('pos', k)} END")
-        seen = spread.select("id", "n_words", "pos", F.when(h.isNotNull(), F.lit(k)).alias("k"), h.alias("token"))
+    # Entry -1 is the document's own row; after it, each position takes an entry for each
+    # shingle length. One generator, whose entries must meet a token before anything is
+    # built from them: the words are never copied.
+    if lengths:
+        m = len(lengths)
+        spread = texts.select("id", "ws", F.size("ws").alias("n_words"), F.expr(f"explode(sequence(-1, greatest(size(ws) * {m} - 1, -1)))").alias("i"))
+        pos = f"CASE WHEN i < 0 THEN -1 ELSE i div {m} END"
+        k = "CASE i % " + str(m) + " " + " ".join(f"WHEN {j} THEN {k}" for j, k in enumerate(lengths)) + " END"
+        hashed = f"CASE i % {m} " + " ".join(f"WHEN {j} THEN {_hash_at(f'CAST(i div {m} AS INT)', k)}" for j, k in enumerate(lengths)) + " END"
+        fits = f"i >= 0 AND i div {m} + {k} <= n_words"
+        seen = spread.select("id", "n_words", F.expr(f"CAST({pos} AS INT)").alias("pos"), F.expr(f"CASE WHEN {fits} THEN {k} END").alias("k"), F.expr(f"CASE WHEN {fits} THEN {hashed} END").alias("token"))
     else:
-        spread = spread.select("id", "n_words", "pos", F.expr(f"inline(CASE WHEN pos < 0 THEN array(named_struct('k', CAST(NULL AS INT), 'token', CAST(NULL AS BIGINT))) ELSE filter(array({by_size}), s -> pos + s.k <= n_words) END)"))
-        seen = spread
+        seen = texts.select("id", F.size("ws").alias("n_words"), F.lit(-1).alias("pos"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("long").alias("token"))
     if lengths:
         flagged = tokens.withColumn("there", F.lit(True))
         seen = seen.join(flagged, ["k", "token"], "left").where("pos < 0 OR there").drop("there")
@@ -102,7 +102,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     cand = cand.where("at >= 0 AND at + size(win) <= n_words").select("id", "at", "window_id", "win")
     per_doc = materialise(cand.groupBy("id").agg(F.collect_set(F.struct("at", "window_id", "win")).alias("cands")), "bench-candidates")
     per_doc = per_doc.withColumnRenamed("id", "cand_id")
-    few = per_doc.count() <= broadcast_rows // 10  # rows hold a few windows each
+    # Each candidate is one window of at most ``window`` words: their number bounds the size.
+    few = (per_doc.agg(F.sum(F.size("cands")).alias("n")).first()["n"] or 0) <= broadcast_rows // 10
     check = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(per_doc) if few else per_doc.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("cand_id")))
     check = check.withColumn("ws", words(F.col("text"))).select("id", F.expr("filter(cands, c -> slice(ws, c.at + 1, size(c.win)) = c.win)").alias("ok")).where("size(ok) > 0")
     ok = materialise(check.select("id", F.expr("inline(ok)")).select("id", "at", "window_id", F.size("win").alias("len")), "bench-matches")
