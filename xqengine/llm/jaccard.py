@@ -40,7 +40,7 @@ from xqengine.llm.components import components
 #: Sets compared with each other in one tile; pivots that several tiles share.
 TILE, PIVOTS = 1000, 8
 #: Text bytes for each hash range, which one task holds.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 16 << 20
 SIGNATURE_WORDS = 16
 _TOKEN = np.dtype("<u8")
 
