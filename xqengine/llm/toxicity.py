@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array([rows[0]]), pa.array([rows[1]]), pa.array([zlib.compress(total.tobytes(), 1)])], ["neg", "pos", "counts"])
 
     total, neg, pos = np.zeros((2, 1 << HASH_BITS), np.int64), 0, 0
-    for r in map_arrow(sample, count, "neg long, pos long, counts binary").toLocalIterator():
+    for r in map_arrow(sample, count, "neg long, pos long, counts binary").collect():  # a bounded row a task
         total += np.frombuffer(zlib.decompress(r["counts"]), np.int32).reshape(2, -1)
         neg, pos = neg + r["neg"], pos + r["pos"]
     if not neg or not pos:
