@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import heapq
 import pickle
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -215,9 +216,25 @@ def letter_events(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.
     return np.repeat(own, 8), [slots(c, prefix, bits, i) for i, (c, bits) in enumerate(zip(wide, LETTER_BITS, strict=True))], bit
 
 
-def _tables(rows: DataFrame, run, bits: tuple[int, ...]) -> list[np.ndarray]:
-    """Sum the tasks' tables block by block and fetch them: a fixed size, whatever the
-    input. ``run(batches)`` yields a task's list of tables."""
+_expanded: dict[str, list[np.ndarray]] = {}
+
+
+def expanded(name: str, blocks: list[tuple[int, int, bytes]], bits: tuple[int, ...]) -> list[np.ndarray]:
+    """A model's tables from their compressed blocks, once for each worker process."""
+    if name not in _expanded:
+        if len(_expanded) >= 2:  # those of an earlier model
+            _expanded.clear()
+        out = [np.zeros(2 << b, "<u2") for b in bits]
+        for k, j, data in blocks:
+            part = np.frombuffer(zlib.decompress(data), "<u2")
+            out[k][j * _BLOCK : j * _BLOCK + len(part)] = part
+        _expanded[name] = out
+    return _expanded[name]
+
+
+def _tables(rows: DataFrame, run) -> list[tuple[int, int, bytes]]:
+    """Sum the tasks' tables block by block and fetch them, compressed: a fixed size at
+    most, whatever the input. ``run(batches)`` gives a task's list of tables."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, n in enumerate(run(batches)):
@@ -233,11 +250,7 @@ def _tables(rows: DataFrame, run, bits: tuple[int, ...]) -> list[np.ndarray]:
         return pa.table({"k": t.column("k")[:1], "block": t.column("block")[:1], "n": pa.array([zlib.compress(small.tobytes(), 1)])})
 
     summed = map_arrow(rows, emit, "k int, block int, n binary").groupBy("k", "block").applyInArrow(add, "k int, block int, n binary")
-    out = [np.zeros(2 << b, "<u2") for b in bits]
-    for r in materialise(summed, "lm-tables").toLocalIterator():
-        part = np.frombuffer(zlib.decompress(r["n"]), "<u2")
-        out[r["k"]][r["block"] * _BLOCK : r["block"] * _BLOCK + len(part)] = part
-    return out
+    return [(r["k"], r["block"], bytes(r["n"])) for r in materialise(summed, "lm-tables").toLocalIterator()]
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -329,27 +342,30 @@ def score_texts(docs: DataFrame, train: DataFrame, *, sample_docs: int = 2000, s
                     np.add.at(n[k], at[k] * 2 + bit, np.uint32(1))
         return n
 
-    tables = context.broadcast(_tables(_few(train), count_words, WORD_BITS))
-    letters = context.broadcast(_tables(_few(rare.select("word")), count_letters, LETTER_BITS))
+    tables = context.broadcast(_tables(_few(train), count_words))
+    letters = context.broadcast(_tables(_few(rare.select("word")), count_letters))
+    model = uuid.uuid4().hex
     zero = np.log((code.ones + 0.4) / (code.zeros + 0.4)).astype(np.float32)
     first = context.broadcast(zero)
 
     def word_inputs(ids, starts, own: bool):
         _, code = lexicon.value
         token, node, bit, ctx = word_events(ids, starts, code, escape)
+        n = expanded(f"{model}-words", tables.value, WORD_BITS)
         for s in _slices(len(token)):
             inputs, gate = [first.value[node[s]]], 0
             for k, b in enumerate(WORD_BITS):
-                x, sure = logits(tables.value[k], slots(ctx[k][token[s]], node[s], b, k), bit[s] if own else None)
+                x, sure = logits(n[k], slots(ctx[k][token[s]], node[s], b, k), bit[s] if own else None)
                 inputs.append(x)
                 gate = gate * 4 + sure
             yield token[s], inputs, gate, bit[s]
 
     def letter_inputs(part: list[bytes], own: bool):
         word, at, bit = letter_events(part)
+        n = expanded(f"{model}-letters", letters.value, LETTER_BITS)
         inputs, gate = [], 0
         for k in range(len(LETTER_BITS)):
-            x, sure = logits(letters.value[k], at[k], bit if own else None)
+            x, sure = logits(n[k], at[k], bit if own else None)
             inputs.append(x)
             gate = (gate * 4 + sure) % 64
         return word, inputs, gate, bit
