@@ -387,15 +387,15 @@ def score_texts(docs: DataFrame, train: DataFrame, *, sample_docs: int = 2000, s
                     m.learn([x[s] for x in inputs], gate[s], bit[s])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(m)])], ["m"])
 
-    def learned(sample: DataFrame, run) -> Mixer:
+    def learned(sample: DataFrame, run, fresh: Mixer) -> Mixer:
         rows = map_arrow(sample, run, "m binary").collect()
-        return pickle.loads(rows[0]["m"])
+        return pickle.loads(rows[0]["m"]) if rows else fresh  # an empty table has no task
 
     chosen = train.select("uid").orderBy(F.xxhash64("uid"), "uid").limit(sample_docs)
     sample = train.join(F.broadcast(chosen), "uid").repartition(1).sortWithinPartitions(F.xxhash64("uid"))
-    by_word = context.broadcast(learned(sample.select("uid", "id", "text"), learn_words))
+    by_word = context.broadcast(learned(sample.select("uid", "id", "text"), learn_words, Mixer(16, 1 + len(WORD_BITS))))
     spelled = rare.orderBy(F.xxhash64("word"), "word").limit(sample_words).select("word").repartition(1).sortWithinPartitions(F.xxhash64("word"))
-    by_letter = context.broadcast(learned(spelled, learn_letters))
+    by_letter = context.broadcast(learned(spelled, learn_letters, Mixer(64, len(LETTER_BITS))))
     logs = context.broadcast(np.log10(np.array([*counts, n_docs], np.float64) + 1))
     known_end = int(n_docs > 0)
     schema = "uid long, id long, word binary, n long, n_tokens long, n_known long, n_bytes long, base double, score double"
