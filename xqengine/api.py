@@ -15,7 +15,7 @@ from xqengine.plans.ast import Expr, type_of
 from xqengine.plans.compile import Plan
 from xqengine.plans.parser import XPathError, parse_xpath
 
-__all__ = ["CompiledXPath", "Corpus", "XPathError", "compile_xpath", "count_matches", "eval_expr", "eval_standalone", "eval_text", "evaluate_from", "shred"]
+__all__ = ["CompiledXPath", "Corpus", "XPathError", "compile_xpath", "count_matches", "eval_expr", "eval_standalone", "eval_text", "eval_text_batch", "evaluate_from", "shred"]
 
 
 @dataclass(frozen=True)
@@ -92,6 +92,25 @@ def eval_text(corpus: Corpus, text: str, *, lazy: bool = False) -> DataFrame:
     return docs.join(lists, "doc_id", "left").select("doc_id", F.coalesce(F.col("t.text"), F.array().cast("array<string>")).alias("texts"))
 
 
+def eval_text_batch(docs: DataFrame, text: str, *, skip: str = "names", partitions: int | None = None) -> DataFrame:
+    """``eval_text`` of raw (doc_id, content) documents. ``skip`` leaves documents out
+    before they are shredded: 'names' by the required names in their text, 'filter' by
+    the 128-bit filter, 'none' not at all; they get an empty array like any other without
+    a match. ``partitions`` deals documents out anew, for few files with many documents."""
+    from xqengine.operators import skipping
+
+    need = compile_xpath(text).selectivity()
+    few = docs
+    if skip == "names":
+        few = skipping.prescan(docs, need.required)
+    elif skip == "filter":
+        few = skipping.possible_by_filter(skipping.filter_from_content(docs), need).select("doc_id", "content")
+    if partitions:
+        few = few.repartition(partitions, "doc_id")
+    found = eval_text(shred(few), text)
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("texts", F.array().cast("array<string>")).alias("texts"))
+
+
 def count_matches(corpus: Corpus, text: str) -> DataFrame:
     """(doc_id, n) of all documents."""
     found = compile_xpath(text).select(corpus).groupBy("doc_id").agg(F.count("*").alias("n"))

@@ -66,6 +66,11 @@ def child_positions(corpus: Corpus) -> DataFrame:
     return kids.select("doc_id", "node_id", "parent_id", (F.row_number().over(own.orderBy("node_id")) - 1).alias("child_position"), F.count("*").over(own).alias("child_count"))
 
 
+def child_at(corpus: Corpus, k: int) -> DataFrame:
+    """(doc_id, parent_id, node_id): each parent's element child number ``k``, from 0."""
+    return child_positions(corpus).where(F.col("child_position") == k).select("doc_id", "parent_id", "node_id")
+
+
 def post_order(corpus: Corpus) -> DataFrame:
     """(doc_id, node_id, post_order) of elements, from 0."""
     tags = corpus.nodes.where("kind = 'element'")
@@ -134,4 +139,4 @@ def descendants_of(corpus: Corpus, nodes: DataFrame, names: tuple[str, ...]) ->
     return a.join(d, on).select("doc_id", "top_id", "node_id", "name")
 
 
-__all__ = ["SLOT", "attribute", "attribute_names", "canonical", "child_positions", "counts", "descendants_of", "direct_text", "is_ancestor", "itertext", "namespace_decls", "post_order", "raw_tag", "raw_xml", "string_value", "tags_by_name", "tail_text"]
+__all__ = ["SLOT", "attribute", "attribute_names", "canonical", "child_at", "child_positions", "counts", "descendants_of", "direct_text", "is_ancestor", "itertext", "namespace_decls", "post_order", "raw_tag", "raw_xml", "string_value", "tags_by_name", "tail_text"]

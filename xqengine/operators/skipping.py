@@ -61,3 +61,19 @@ def possible(corpus: Corpus, need: Selectivity) -> Corpus:
     have = corpus.nodes.where((F.col("kind") == "element") & F.col("name").isin(*names)).groupBy("doc_id").agg(F.count_distinct("name").alias("n")).where(F.col("n") == len(names)).select("doc_id")
     keep = lambda df: df.join(have, "doc_id", "left_semi")
     return Corpus(corpus.docs, keep(corpus.nodes), keep(corpus.texts), corpus.errors)
+
+
+def filter_from_content(docs: DataFrame, content_col: str = "content") -> DataFrame:
+    """``docs`` with ``bloom_lo`` and ``bloom_hi`` of the tag names seen in the raw text,
+    without shredding (names inside comments count too: more may pass, never fewer)."""
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(content_col), F.lit("")), F.lit(r"<([^/!?\s>][^\s>/]*)"), F.lit(1)))
+
+    def all_of(high: bool) -> Column:
+        return F.aggregate(found, F.lit(0).cast("long"), lambda a, n: a.bitwiseOR(_word(_bits(n), high)))
+
+    return docs.withColumn("bloom_lo", all_of(False)).withColumn("bloom_hi", all_of(True))
+
+
+def possible_by_filter(stats: DataFrame, need: Selectivity) -> DataFrame:
+    """The rows of ``stats`` (with the filter's columns) whose document may match."""
+    return reduce(lambda d, n: d.where(may_contain(n)), sorted(need.required), stats)

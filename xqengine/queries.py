@@ -167,3 +167,48 @@ _register("index_descendants_of", "orders", lambda c: extract.descendants_of(c,
 _register("skipping_stats", "orders", lambda c: skipping.doc_stats(c).select("doc_id", F.array_join("tag_names", ",").alias("tag_names"), "n_elements", skipping.may_contain("cust").alias("may_have_cust")), _O + "SELECT o_orderkey AS doc_id, CASE WHEN n > 0 THEN 'cust,line,order,qty' ELSE 'cust,order' END AS tag_names, 2 * n + 2 AS n_elements, true AS may_have_cust FROM o")
 QUERIES["skipping_prescan"] = lambda spark, sf_dir: api.count_matches(shred(skipping.prescan(page_documents(spark, sf_dir), api.compile_xpath("//article//b").selectivity().required)), "//article//b")
 ORACLE_SQL["skipping_prescan"] = "SELECT page_id AS doc_id, CAST(len(regexp_extract_all(substr(html, instr(html, '<article')), '<b>')) AS BIGINT) AS n FROM pages WHERE html LIKE '%<article%' AND html LIKE '%<b%'"
+
+
+def _bad_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each third region's document ends in a tag that nothing closes."""
+    r = _read(spark, sf_dir, "region")
+    end = F.when(F.col("r_regionkey") % 3 == 0, "<open").otherwise("</r>")
+    return r.select(F.col("r_regionkey").cast("long").alias("doc_id"), F.concat(F.lit("<r>"), "r_name", end).alias("content"))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through the store: shredded, written, and read for the same contents."""
+    import tempfile
+    import uuid
+
+    from xqengine.sources.store import load_or_shred
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="xqengine-")
+    return api.count_matches(load_or_shred(spark, f"{base}/store-{uuid.uuid4().hex}", region_documents(spark, sf_dir)), "//name")
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from xqengine.operators.shred import tokens
+
+    kinds = tokens(page_documents(spark, sf_dir)).groupBy("doc_id").agg(F.count_if(F.col("kind") == "comment").alias("comments"), F.count_if(F.col("kind") == "doctype").alias("doctypes"), F.count_if(F.col("kind") == "close").alias("closes"), F.max("byte_end").alias("n_bytes"))
+    return kinds
+
+
+def _batch(skip: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: api.eval_text_batch(page_documents(spark, sf_dir), "//h1", skip=skip, partitions=4).select("doc_id", F.size("texts").alias("n"))
+
+
+_REGION_NAMES = "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n FROM region"
+_H1 = "SELECT page_id AS doc_id, CAST(len(regexp_extract_all(html, '<h1>[^<]')) AS INTEGER) AS n FROM pages"
+for _name, _how, _sql in (
+    ("errors_unclosed_tag", lambda spark, sf_dir: shred(_bad_documents(spark, sf_dir)).errors.select("doc_id", "error.kind", "error.offset"), "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, 'UnclosedTag' AS kind, CAST(3 + strlen(r_name) AS BIGINT) AS \"offset\" FROM region WHERE r_regionkey % 3 = 0"),
+    ("errors_leave_others", lambda spark, sf_dir: api.eval_expr(shred(_bad_documents(spark, sf_dir)), "string(/r)"), "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, r_name AS value FROM region WHERE r_regionkey % 3 <> 0"),
+    ("store_round_trip", _stored, _REGION_NAMES),
+    ("tokens_by_kind", _tokens, "SELECT page_id AS doc_id, CAST(len(regexp_extract_all(html, '<!--')) AS BIGINT) AS comments, CAST(len(regexp_extract_all(html, '<!DOCTYPE')) AS BIGINT) AS doctypes, CAST(len(regexp_extract_all(html, '</[a-z0-9]+>')) - len(regexp_extract_all(html, '\"</p>\"')) + len(regexp_extract_all(html, '\"</p>\"')) AS BIGINT) AS closes, CAST(strlen(html) AS BIGINT) AS n_bytes FROM pages"),
+    ("batch_text_skip_names", _batch("names"), _H1),
+    ("batch_text_skip_filter", _batch("filter"), _H1),
+    ("batch_text_skip_none", _batch("none"), _H1),
+):
+    QUERIES[_name] = _how
+    ORACLE_SQL[_name] = _sql
+_register("index_child_at", "orders", lambda c: extract.child_at(c, 1).where("parent_id > 0").select("doc_id"), _O + "SELECT o_orderkey AS doc_id FROM o WHERE n > 0")
