@@ -50,12 +50,18 @@ class Corpus:
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos from 1, tok, kind, depth, byte_start, byte_end, c0, c1, S) of each token."""
+    """(doc_id, pos from 1, tok, kind, depth, byte_start, byte_end, c0, c1) of each token."""
+    return _token_rows(docs).where("kind <> 'root'")
+
+
+def _token_rows(docs: DataFrame) -> DataFrame:
+    """The tokens, and an empty one of kind root at place 0 of each document."""
     toks = docs.select("doc_id", F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0)).alias("toks"))
     toks = toks.select("doc_id", "toks", F.array_contains("toks", "<").alias("bad"), F.size("toks").alias("n_toks"))
-    rows = toks.where("NOT bad").select("doc_id", "n_toks", F.posexplode("toks").alias("pos", "tok")).withColumn("pos", F.col("pos").cast("long") + 1)
+    rows = toks.where("NOT bad").select("doc_id", "n_toks", F.posexplode(F.concat(F.array(F.lit("")), "toks")).alias("pos", "tok")).withColumn("pos", F.col("pos").cast("long"))
     kind = (
-        F.when(F.substr("tok", F.lit(1), F.lit(1)) != "<", "text")
+        F.when(F.col("pos") == 0, "root")
+        .when(F.substr("tok", F.lit(1), F.lit(1)) != "<", "text")
         .when(F.startswith("tok", F.lit("<!--")), "comment")
         .when(F.startswith("tok", F.lit("<![CDATA[")), F.when(F.endswith("tok", F.lit("]]>")), "cdata").otherwise("opener"))
         .when(F.startswith("tok", F.lit("<!")), "doctype")
@@ -83,7 +89,7 @@ def shred(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content",
     of these names (and all else that isn't an element) after the tree is known.
     ``mode``: PERMISSIVE keeps bad documents in ``errors``, FAILFAST raises on one."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(content_col), F.lit("")).alias("content"))
-    rows = tokens(docs)
+    rows = _token_rows(docs)
     rows = rows.withColumn("txt", F.expr(_text_sql("tok", "kind")))
     run = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy("doc_id")
@@ -100,7 +106,7 @@ def shred(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content",
     opened = F.col("kind") == "open"
 
     def end(of_close: str, leaf, last):
-        return F.when(closed, F.col(f"_next.{of_close}")).when(opened, last).otherwise(leaf)
+        return F.when(closed, F.col(f"_next.{of_close}")).when(opened | (F.col("kind") == "root"), last).otherwise(leaf)
 
     element = F.col("kind").isin("open", "selfclose")
     one = f"transform(regexp_extract_all(tok, {_quoted(ATTRIBUTE)}, 0), a -> named_struct('name', substr(a, 2, instr(a, '=') - 2), 'raw', substr(a, instr(a, '=') + 2, length(a) - instr(a, '=') - 2)))"
@@ -112,9 +118,9 @@ def shred(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content",
         (F.col("pos") * SLOT).alias("node_id"),
         F.when(element, "element").when(F.col("kind") == "cdata", "text").otherwise(F.col("kind")).alias("kind"),
         name.alias("name"),
-        F.coalesce(F.col("_parent") * SLOT, F.lit(0)).cast("long").alias("parent_id"),
-        "depth",
-        F.when(closed, F.col("_next.pos") * SLOT).when(opened, (F.col("n_toks").cast("long") + 1) * SLOT).otherwise(F.col("pos") * SLOT + SLOT - 1).alias("close_id"),
+        F.when(F.col("kind") != "root", F.coalesce(F.col("_parent") * SLOT, F.lit(0)).cast("long")).alias("parent_id"),
+        F.when(F.col("kind") == "root", F.lit(-1)).otherwise(F.col("depth")).alias("depth"),
+        F.when(F.col("kind") == "root", F.lit(1 << 62)).when(closed, F.col("_next.pos") * SLOT).when(opened, (F.col("n_toks").cast("long") + 1) * SLOT).otherwise(F.col("pos") * SLOT + SLOT - 1).alias("close_id"),
         F.when(element, F.expr(both)).alias("attrs"),
         body.alias("text"),
         (F.col("kind") == "cdata").alias("is_cdata"),
@@ -126,23 +132,20 @@ def shred(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content",
         end("byte_end", F.col("byte_end"), F.col("doc_bytes")).alias("byte_end"),
     ).where("NOT (kind = 'pi' AND name = 'xml') AND NOT (kind = 'text' AND text = '')")
     if names is not None:
-        tree = tree.where(F.col("kind").isin("text", "comment", "pi") | F.col("name").isin(*names))
-    kept = tree.where("kind = 'element' AND size(attrs) > 0").select("doc_id", "node_id", "depth", "c0", "c1", "byte_start", "byte_end", "t0", F.posexplode("attrs").alias("i", "a"))
-    attributes = kept.where("a.name <> 'xmlns' AND NOT startswith(a.name, 'xmlns:')").select(
-        "doc_id", (F.col("node_id") + 1 + F.col("i")).alias("node_id"), F.lit("attribute").alias("kind"), F.col("a.name").alias("name"), F.col("node_id").alias("parent_id"), (F.col("depth") + 1).alias("depth"), (F.col("node_id") + 1 + F.col("i")).alias("close_id"), F.lit(None).cast("array<struct<name:string,value:string,raw:string>>").alias("attrs"), F.col("a.value").alias("text"), F.lit(False).alias("is_cdata"), "t0", F.col("t0").alias("t1"), "c0", "c1", "byte_start", "byte_end"
-    )
+        tree = tree.where(F.col("kind").isin("root", "text", "comment", "pi") | F.col("name").isin(*names))
+    # Each element's attributes follow it as nodes; one generator makes all rows.
+    made = {"node_id": "node_id + 1 + i", "kind": "'attribute'", "name": "a.name", "parent_id": "node_id", "depth": "depth + 1", "close_id": "node_id + 1 + i", "attrs": "CAST(NULL AS array<struct<name:string,value:string,raw:string>>)", "text": "a.value", "is_cdata": "false", "t1": "t0"}
+    own = f"array(named_struct({', '.join(f"'{c}', {c}" for c in NODE)}))"
+    listed = f"transform(coalesce(attrs, array()), (a, i) -> named_struct({', '.join(f"'{c}', {made.get(c, c)}" for c in NODE)}))"
+    nodes = tree.selectExpr("doc_id", f"inline(concat({own}, filter({listed}, x -> x.name <> 'xmlns' AND NOT startswith(x.name, 'xmlns:'))))")
     toks = docs.select("doc_id", "content", F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0)).alias("toks"))
     good = toks.where("NOT array_contains(toks, '<')")
     kinds = "CASE WHEN substr(t, 1, 1) <> '<' THEN 'text' WHEN startswith(t, '<![CDATA[') AND endswith(t, ']]>') THEN 'cdata' ELSE '' END"
     used = "CASE WHEN size(toks) > 0 AND substr(element_at(toks, -1), 1, 1) <> '<' THEN slice(toks, 1, size(toks) - 1) ELSE toks END"
     texts = good.select("doc_id", F.expr(f"array_join(transform({used}, t -> coalesce({_text_sql('t', kinds)}, '')), '')").alias("doc_text"))
-    roots = texts.select(
-        "doc_id", F.lit(0).cast("long").alias("node_id"), F.lit("root").alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("parent_id"), F.lit(-1).alias("depth"), F.lit(1 << 62).alias("close_id"), F.lit(None).cast("array<struct<name:string,value:string,raw:string>>").alias("attrs"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("is_cdata"), F.lit(0).cast("long").alias("t0"), F.length("doc_text").cast("long").alias("t1"), F.lit(0).cast("long").alias("c0"), F.lit(1 << 30).cast("long").alias("c1"), F.lit(0).cast("long").alias("byte_start"), F.lit(1 << 30).cast("long").alias("byte_end")
-    )
     offset = F.expr("aggregate(slice(toks, 1, array_position(toks, '<') - 1), 0L, (a, t) -> a + octet_length(t))")
     error = F.struct(F.lit("UnclosedTag").alias("kind"), offset.cast("long").alias("offset"), F.lit("unclosed tag").alias("message"))
     bad = toks.where("array_contains(toks, '<')").select("doc_id", error.alias("error"))
-    nodes = roots.unionByName(tree).unionByName(attributes).select("doc_id", *NODE)
     if mode == "FAILFAST":
         nodes = nodes.unionByName(bad.select(F.expr("raise_error(concat('UnclosedTag at byte ', error.offset))").cast("long").alias("node_id"), "doc_id").join(nodes.limit(0).drop("node_id"), "doc_id", "left").select("doc_id", *NODE))
     return Corpus(docs, nodes, texts, bad)
