@@ -124,23 +124,31 @@ class Mixer:
         self.apm = np.tile(1 / (1 + np.exp(-at)), (self.gates, 1)).astype(np.float32)
 
     def _logit(self, s: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        z = self.w[gate, self.k].copy()
+        by_input = np.ascontiguousarray(self.w.T)
+        z = by_input[self.k].take(gate)
         for k, x in enumerate(s):
-            z += self.w[gate, k] * x
-        return np.clip(z, -7.99, 7.99)
+            z += by_input[k].take(gate) * x
+        return np.clip(z, np.float32(-7.99), np.float32(7.99))
 
     def _refine(self, z: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = (z + 8) * ((_STEPS - 1) / 16)
+        at = (z + np.float32(8)) * np.float32((_STEPS - 1) / 16)
         low = at.astype(np.int32)
-        part = at - low
+        part = at - low.astype(np.float32)
         flat, i = self.apm.ravel(), gate * _STEPS + low
-        return flat[i] * (1 - part) + flat[i + 1] * part, i, part
+        a = flat.take(i)
+        return a + (flat.take(i + 1) - a) * part, i, part
 
     def predict(self, s: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         """The probability of a one."""
         z = self._logit(s, gate)
-        p = 0.5 / (1 + np.exp(-z)) + 0.5 * self._refine(z, gate)[0]
-        return np.clip(p, 1e-6, 1 - 1e-6)
+        half = np.float32(0.5)
+        p = half / (1 + np.exp(-z)) + half * self._refine(z, gate)[0]
+        return np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6))
+
+    def log10_of(self, s: list[np.ndarray], gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """The log10 probability of each event's own bit."""
+        p = self.predict(s, gate)
+        return np.log(np.where(bit == 1, p, 1 - p)) * np.float32(1 / np.log(10))
 
     def learn(self, s: list[np.ndarray], gate: np.ndarray, bit: np.ndarray) -> None:
         """One step from a few thousand events: weights, then the map."""
@@ -217,18 +225,40 @@ def letter_events(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.
 
 
 _expanded: dict[str, list[np.ndarray]] = {}
+_SCALE = 4096
+
+
+def packed(tables: list[np.ndarray]) -> list[np.ndarray]:
+    """Each slot's logit (in 1/4096) and confidence in one integer, for scoring: one
+    look-up in place of two logarithms an event."""
+    out = []
+    for n in tables:
+        made = np.empty(len(n) // 2, np.int32)
+        for a in range(0, len(made), _BLOCK):
+            pair = n[2 * a : 2 * (a + _BLOCK)].reshape(-1, 2).astype(np.float32)
+            total = pair.sum(1)
+            sure = (total > 0).astype(np.int32) + (total > 2) + (total > 15)
+            made[a : a + _BLOCK] = np.rint(np.log((pair[:, 1] + 0.4) / (pair[:, 0] + 0.4)) * _SCALE).astype(np.int32) << 2 | sure
+        out.append(made)
+    return out
+
+
+def unpacked(table: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    v = table.take(slot)
+    return (v >> 2).astype(np.float32) * np.float32(1 / _SCALE), v & 3
 
 
-def expanded(name: str, blocks: list[tuple[int, int, bytes]], bits: tuple[int, ...]) -> list[np.ndarray]:
-    """A model's tables from their compressed blocks, once for each worker process."""
+def expanded(name: str, blocks: list[tuple[int, int, bytes]], bits: tuple[int, ...], pack: bool = False) -> list[np.ndarray]:
+    """A model's tables from their compressed blocks, once for each worker process; with
+    ``pack`` as ``packed`` has them."""
     if name not in _expanded:
-        if len(_expanded) >= 2:  # those of an earlier model
+        if len(_expanded) >= 3:  # those of an earlier model
             _expanded.clear()
         out = [np.zeros(2 << b, "<u2") for b in bits]
         for k, j, data in blocks:
             part = np.frombuffer(zlib.decompress(data), "<u2")
             out[k][j * _BLOCK : j * _BLOCK + len(part)] = part
-        _expanded[name] = out
+        _expanded[name] = packed(out) if pack else out
     return _expanded[name]
 
 
@@ -300,7 +330,7 @@ def _token_chunks(batches: Iterator[pa.RecordBatch], words: Words, end: int) ->
         yield rows, np.array(ids, np.int64), np.array(starts)
 
 
-def _slices(n: int, size: int = 1 << 19) -> Iterator[slice]:
+def _slices(n: int, size: int = 1 << 16) -> Iterator[slice]:
     for a in range(0, n, size):
         yield slice(a, a + size)
 
@@ -351,11 +381,12 @@ def score_texts(docs: DataFrame, train: DataFrame, *, sample_docs: int = 2000, s
     def word_inputs(ids, starts, own: bool):
         _, code = lexicon.value
         token, node, bit, ctx = word_events(ids, starts, code, escape)
-        n = expanded(f"{model}-words", tables.value, WORD_BITS)
+        n = expanded(f"{model}-words-{own}", tables.value, WORD_BITS, not own)
         for s in _slices(len(token)):
             inputs, gate = [first.value[node[s]]], 0
             for k, b in enumerate(WORD_BITS):
-                x, sure = logits(n[k], slots(ctx[k][token[s]], node[s], b, k), bit[s] if own else None)
+                slot = slots(ctx[k].take(token[s]), node[s], b, k)
+                x, sure = logits(n[k], slot, bit[s]) if own else unpacked(n[k], slot)
                 inputs.append(x)
                 gate = gate * 4 + sure
             yield token[s], inputs, gate, bit[s]
@@ -407,8 +438,9 @@ def score_texts(docs: DataFrame, train: DataFrame, *, sample_docs: int = 2000, s
         for rows, ids, starts in _token_chunks(batches, Words(lexicon.value[0], escape), end):
             bits = np.zeros(len(ids))
             for token, inputs, gate, bit in word_inputs(ids, starts, False):
-                p = m.predict(inputs, gate)
-                bits += np.bincount(token, np.log10(np.where(bit == 1, p, 1 - p)), len(ids))
+                # Tokens of a slice lie together, so the sums cover that stretch alone.
+                a, b = int(token[0]), int(token[-1]) + 1
+                bits[a:b] += np.bincount(token - a, m.log10_of(inputs, gate, bit), b - a)
             base = np.where(ids <= end, log_of[np.minimum(ids, end)], 0)
             known = np.where(ids < end, 1, np.where(ids == end, known_end, 0))
             size = np.diff(np.append(starts, len(ids)))
@@ -448,8 +480,7 @@ def score_texts(docs: DataFrame, train: DataFrame, *, sample_docs: int = 2000, s
                 for k in range(0, len(new), 5000):
                     at = new[k : k + 5000]
                     w, inputs, gate, bit = letter_inputs(word.take(pa.array(at)).to_pylist(), False)
-                    p = m.predict(inputs, gate)
-                    bits = np.bincount(w, np.log10(np.where(bit == 1, p, 1 - p)), len(at))
+                    bits = np.bincount(w, m.log10_of(inputs, gate, bit), len(at))
                     score[at] += np.log10((1 - RECALL) * unseen) + bits
                 known = b.column("n_known").to_numpy() + np.where(seen, n, 0)
                 cols = [b.column(x) for x in ("uid", "id", "n_tokens")] + [pa.array(known), b.column("n_bytes"), pa.array(base), pa.array(score)]
