@@ -164,6 +164,13 @@ def test_substring_dedup(docs, rows, no_docs):
     assert substring_dedup.repeated_spans(no_docs).count() == 0
 
 
+def test_substring_dedup_removes_short_repeats(spark):
+    rows = [(1, "First of all. Licensed under CC BY-NC 4.0."), (2, "Other words. Licensed under CC BY-NC 4.0."), (3, "licensed under CC  BY-NC 4.0.\nStop.\nNew here."), (4, "Stop.")]
+    found = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = dict(rows)
+    assert {(r["doc_id"], text[r["doc_id"]][r["start"] : r["end"]], r["n_words"], r["kept_doc_id"]) for r in found} == {(2, "Licensed under CC BY-NC 4.0.", 5, 1), (3, "licensed under CC  BY-NC 4.0.", 5, 1), (4, "Stop.", 1, 3)}
+
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 

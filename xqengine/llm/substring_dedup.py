@@ -4,9 +4,9 @@ Units are lines, cut further after sentence ends ('.', '!' or '?' before white s
 that a passage that starts inside a line still meets its other occurrences. A unit is
 normalised (lower-case A-Z, runs of white space as one) and gets a 128-bit digest. Of the
 units with one digest the earliest stays, by document rank and then place in the text; the
-rest go. A removed stretch is a run of neighbouring repeated units with at least
-``min_words`` words together, so single stock phrases stay. Offsets count the code points
-of the original text.
+rest go, whatever their length: a removed stretch is a run of neighbouring repeated units,
+and a single word is one too. Only a caller that sets ``min_words`` keeps shorter runs.
+Offsets count the code points of the original text.
 
 A digest's earliest document is a partially aggregated minimum, and only digests that
 occur twice are joined back, through a written table, so that a digest that fills a third
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from xqengine.llm.common import LOWER, SPACES, _power, map_arrow, materialise, mix, pieces, span_hashes, spans, table
 
-MIN_WORDS = 10
 _CUT = np.zeros(256, bool)
 _CUT[0] = True
 _STOP = np.zeros(256, bool)
@@ -89,7 +88,7 @@ def unit_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_arrow(keep, run, "id long, ord long, start long, end long, words long, h1 long, h2 long, again boolean")
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1) -> DataFrame:
     """(doc_id, start, end, n_units, n_words, kept_doc_id): the stretches to remove, where
     the earliest document with one of a stretch's units is ``kept_doc_id``. Rank is the
     id; a null id comes last."""
