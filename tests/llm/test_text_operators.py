@@ -237,3 +237,37 @@ def test_mixer_is_a_distribution():
         q = m.predict([np.log(p / (1 - p))[code.node[own]].astype(np.float32)], np.zeros(own.stop - own.start, np.int64))
         total += np.prod(np.where(code.bit[own] == 1, q, 1 - q))
     assert math.isclose(total, 1, rel_tol=1e-5)
+
+
+def test_context_counts_are_exact():
+    """Every (context, node) has its own count, also where shards share a frequent word."""
+    code = lm_scoring.Code.of([50, 20, 9, 3, 1, 7])
+    rnd = np.random.default_rng(4)
+    one, two, sym, learn = rnd.integers(0, 9, 4000), rnd.integers(0, 1 << 40, 4000) % 3000, rnd.integers(0, 6, 4000), rnd.integers(0, 2, 4000)
+    want = Counter()
+    for a, b, y, k in zip(one, two, sym, learn, strict=True):
+        for j in range(code.off[y], code.off[y + 1]):
+            for ctx in ((a,), (a, b)):
+                want[(ctx, code.node[j], code.bit[j])] += k
+    pairs = Counter(zip(one[learn > 0], sym[learn > 0], strict=True))
+    hot = [np.array([(a, y, n) for (a, y), n in pairs.items() if a < 3], np.int64)[:, k] for k in range(3)]
+    for own in (two % 2 == 0, two % 2 == 1):  # words 3 and up aren't shared, so they lie in one shard
+        own |= one >= 3
+        shard = lm_scoring.Shard(one[own], two[own], sym[own], learn[own], code, hot)
+        for d, (at, x, _, bit) in enumerate(shard.events(False)):
+            for k, i in enumerate(at):
+                a, b, y = shard.one[i], shard.two[i], shard.sym[i]
+                node = code.node[code.off[y] + d]
+                for ctx, got in (((a,), x[1][k]), ((a, b), x[2][k])):
+                    n = [want[(ctx, node, j)] for j in (0, 1)]
+                    assert math.isclose(got, math.log((n[1] + 0.4) / (n[0] + 0.4)), abs_tol=1e-5) and bit[k] == code.bit[code.off[y] + d]
+
+
+def test_lm_scores_do_not_depend_on_shards(docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "averaged", lambda mixers, fresh: fresh)
+    score = lambda: sorted((r["doc_id"] or 0, r["score"]) for r in lm_scoring.lm_scores(docs, dictionary=200).collect())
+    whole = score()
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 500)
+    monkeypatch.setattr(lm_scoring, "HOT_TOKENS", 20)
+    for a, b in zip(whole, score(), strict=True):
+        assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-5)

@@ -38,11 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, **options) -> DataFrame:
     """Write to the shared folder and read again: lineage ends there, and a lost
     executor costs only a reread."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

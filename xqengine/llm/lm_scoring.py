@@ -8,13 +8,15 @@ spells words that training never saw, bit by bit, from the letters before. In bo
 predictors' logits are combined with weights that the predictors' confidences select, the
 weights having been learned online, and an adaptive probability map refines the result.
 
-Corpus counts cover all training rows: word counts, context counts and letter counts are
-summed over tasks. Only the few hundred mixing weights come from a bounded sample
-(``sample_docs`` texts and ``sample_words`` words, by smallest hash), read in order by one
-task; there, an event's own count is taken out of the tables first, so that the weights
-see texts as if they were held out. Context tables have a fixed number of slots, as
-hashed contexts do, so what is broadcast is bounded: rare contexts share slots, and the
-weights follow what that costs. The word counts grow with the corpus and are joined.
+Counts of word contexts are exact and grow with the corpus: each token goes, with the two
+words before, to the shard of its context, where a context's symbols lie sorted by code, so
+that a node's count is a sum over neighbours. A shard has about ``SHARD_TOKENS`` tokens
+whatever the input. The shard of a token follows from the word before; a word that alone
+fills much of a shard is dealt out by the word before that too, and its one-word counts are
+summed apart and joined. The dictionary grows with the square root of the corpus. A shard
+learns mixing weights from all its training tokens, each with its own count taken out, as
+if held out; shards' weights are averaged by events seen. Letter tables still have a fixed
+number of slots, and spelling's weights come from ``sample_words`` words.
 
 Words outside the dictionary: after the escape, a known word has the probability of its
 count, less the mass of unseen words (as many as words seen once, by Good and Turing);
@@ -29,6 +31,7 @@ ignored.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import pickle
 import uuid
@@ -44,15 +47,21 @@ from pyspark.sql import functions as F
 
 from xqengine.llm.common import held_out, map_arrow, materialise, mix, table
 
+#: Least size of the dictionary; see ``dictionary_size``.
 DICTIONARY = 65_536
-#: log2 of the slots of each hashed context: of the words, of the letters.
-WORD_BITS, LETTER_BITS = (22, 24), (16, 20, 20, 20, 20, 20)
+#: Tokens of a shard, and of a word from which on its contexts are dealt over shards.
+SHARD_TOKENS = 250_000
+HOT_TOKENS = 50_000
+#: log2 of the slots of each hashed context of the letters.
+LETTER_BITS = (16, 20, 20, 20, 20, 20)
 #: Rarer words aren't in the dictionary, so that training meets escapes as scoring will.
 LEAST_COUNT = 3
 #: Share of an escaped word's probability for the text's own earlier escaped words.
 RECALL = 0.05
 _BLOCK = 1 << 18
 CHUNK_TOKENS = 60_000
+WIDE_TOKENS = 400_000
+_LONGEST = 62
 #: Words that a counting task holds before it hands them on.
 HELD_WORDS = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -92,9 +101,18 @@ class Code:
         ones = np.array([weight[kids[k][1]] for k in range(n, len(weight))], np.float64)
         return cls(off, both[:, 0], both[:, 1], zeros, ones)
 
+    def aligned(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each symbol's bits as a number, the first at ``_LONGEST`` - 1, and their count."""
+        size = np.diff(self.off)
+        owner = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(owner)) - self.off[owner]
+        value = np.zeros(len(size), np.int64)
+        np.add.at(value, owner, self.bit << (_LONGEST - 1 - place))
+        return value, size
+
 
 class Words(dict):
-    """Dictionary words to symbols; others get a hashed number from ``first`` on and are
+    """Dictionary words to symbols; others get a 56-bit hash from ``first`` on and are
     kept in ``rare``."""
 
     def __init__(self, words: list[bytes], first: int):
@@ -103,7 +121,7 @@ class Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         self.rare.append(word)
-        return self.first + (zlib.crc32(word) & 0xFFFF)
+        return self.first + int.from_bytes(hashlib.blake2b(word, digest_size=7).digest(), "little")
 
 
 @dataclass
@@ -185,22 +203,160 @@ def logits(n: np.ndarray, slot: np.ndarray, bit: np.ndarray | None) -> tuple[np.
     return np.log((pair[:, 1] + 0.4) / (pair[:, 0] + 0.4)), (total > 0).astype(np.int64) + (total > 2) + (total > 15)
 
 
-def word_events(ids: np.ndarray, starts: np.ndarray, code: Code, escape: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(token of each bit, node, bit, contexts) of a row of token ids; ``starts`` are the
-    places where a text begins."""
-    sym = np.minimum(ids, escape)
-    size = (code.off[1:] - code.off[:-1])[sym]
-    token = np.repeat(np.arange(len(ids)), size)
-    at = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size) + code.off[sym][token]
-    x = ids.astype(np.uint64) + np.uint64(1)
-    one = np.concatenate([np.zeros(1, np.uint64), x[:-1]])
-    two = np.concatenate([np.zeros(2, np.uint64), x[:-2]])[: len(x)]
+def dictionary_size(tokens: int) -> int:
+    return max(DICTIONARY, int((64 * tokens) ** 0.5))
+
+
+def contexts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before and the one before that, plus 1; 0 is none."""
+    one = np.concatenate([np.zeros(1, np.int64), ids[:-1] + 1])
+    two = np.concatenate([np.zeros(1, np.int64), one[:-1]])
     one[starts] = 0
     two[starts] = 0
     second = starts + 1
     two[second[second < len(two)]] = 0
-    c1 = mix(one * _ODD[0])
-    return token, code.node[at], code.bit[at], [c1, mix(c1 + two * _ODD[1])]
+    return one, two
+
+
+def shard_of(one: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
+    h = mix(one.astype(np.uint64) * _ODD[0] + part.astype(np.uint64) * _ODD[1])
+    return (h % np.uint64(shards)).astype(np.int32)
+
+
+def part_of(one: np.ndarray, two: np.ndarray, splits: np.ndarray) -> np.ndarray:
+    """Which of its word's parts a context is in; only frequent words have several."""
+    n = splits[np.minimum(one, len(splits) - 1)].astype(np.uint64)
+    return (mix(two.astype(np.uint64) * _ODD[2]) % n).astype(np.int64)
+
+
+def pack_arrays(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of one length and 8-byte numbers, by byte place, compressed."""
+    return zlib.compress(b"".join(np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for a in arrays), 1)
+
+
+def unpack_arrays(data: bytes, k: int) -> list[np.ndarray]:
+    b = np.frombuffer(zlib.decompress(data), np.uint8).reshape(k, 8, -1)
+    return [np.ascontiguousarray(x.T).view("<i8").ravel() for x in b]
+
+
+def node_counts(new: np.ndarray, code: np.ndarray, size: np.ndarray, c: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For (context, symbol) rows sorted by context and code, with ``new`` where a context
+    begins: the rows whose code has a bit ``d``, and the context's counts of zeros and ones
+    at the node there."""
+    at = np.flatnonzero(size > d)
+    group = np.cumsum(new)[at]
+    prefix = code[at] >> (_LONGEST - d)
+    edge = np.ones(len(at), bool)
+    edge[1:] = (group[1:] != group[:-1]) | (prefix[1:] != prefix[:-1])
+    seg = np.cumsum(edge) - 1
+    bit = (code[at] >> (_LONGEST - 1 - d)) & 1
+    all_, ones = np.bincount(seg, c[at]), np.bincount(seg, c[at] * bit)
+    return at, (all_ - ones)[seg], ones[seg]
+
+
+def logit_of(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    total = zeros + ones
+    x = np.log(((ones + 0.4) / (zeros + 0.4)).astype(np.float32))
+    return x, (total > 0).astype(np.int64) + (total > 2) + (total > 15)
+
+
+def _edges(*cols: np.ndarray) -> np.ndarray:
+    new = np.ones(len(cols[0]), bool)
+    new[1:] = False
+    for c in cols:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+class Shard:
+    """The contexts of a shard's tokens with their exact training counts. ``hot`` is (one,
+    symbol, count): the whole corpus's counts of the words that several shards share."""
+
+    def __init__(self, one, two, sym, learn, code: Code, hot: list[np.ndarray]):
+        value, size = code.aligned()
+        order = np.lexsort((value[sym], two, one))
+        o, t, y = one[order], two[order], sym[order]
+        new = _edges(o, t, y)
+        first = np.flatnonzero(new)
+        self.row = np.empty(len(order), np.int64)  # of each token
+        self.row[order] = np.cumsum(new) - 1
+        self.one, self.two, self.sym = o[first], t[first], y[first]
+        self.c = np.bincount(self.row, learn, len(first))
+        self.code, self.value, self.size = code, value, size
+        shared = np.isin(self.one, hot[0])
+        # One-word contexts: own counts, or the corpus's where the word is shared. A row of
+        # this shard with no training count stays, as a question.
+        a = np.concatenate([self.one, hot[0]])
+        b = np.concatenate([self.sym, hot[1]])
+        c = np.concatenate([np.where(shared, 0, self.c), hot[2]])
+        order = np.lexsort((value[b], a))
+        new = _edges(a[order], b[order])
+        pair = np.empty(len(order), np.int64)
+        pair[order] = np.cumsum(new) - 1
+        self.pair = pair[: len(self.one)]
+        at = order[np.flatnonzero(new)]
+        self.one_new, self.one_sym, self.one_c = _edges(a[at]), b[at], np.bincount(pair, c)
+
+    def events(self, own: bool) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+        """(rows, logits, gate, bit) by depth; with ``own``, of rows with training tokens
+        alone, one of them taken out."""
+        zero = np.log((self.code.ones + 0.4) / (self.code.zeros + 0.4)).astype(np.float32)
+        v, size = self.value[self.sym], self.size[self.sym]
+        v1, size1 = self.value[self.one_sym], self.size[self.one_sym]
+        new = _edges(self.one, self.two)
+        zeros1, ones1 = np.zeros(len(v1)), np.zeros(len(v1))
+        for d in range(int(size.max(initial=0))):
+            at1, zeros1[:], ones1[:] = (x := node_counts(self.one_new, v1, size1, self.one_c, d))[0], 0, 0
+            zeros1[at1], ones1[at1] = x[1], x[2]
+            at, zeros2, ones2 = node_counts(new, v, size, self.c, d)
+            if own:
+                some = self.c[at] > 0
+                at, zeros2, ones2 = at[some], zeros2[some], ones2[some]
+            bit = (v[at] >> (_LONGEST - 1 - d)) & 1
+            n10, n11 = zeros1[self.pair[at]], ones1[self.pair[at]]
+            if own:
+                n10, n11, zeros2, ones2 = n10 - (1 - bit), n11 - bit, zeros2 - (1 - bit), ones2 - bit
+            x1, sure1 = logit_of(n10, n11)
+            x2, sure2 = logit_of(zeros2, ones2)
+            node = self.code.node[self.code.off[self.sym[at]] + d]
+            yield at, [zero[node], x1, x2], sure1 * 4 + sure2, bit
+
+    def learned(self) -> Mixer:
+        """Weights from all training tokens, in a mixed order."""
+        m, parts = Mixer(16, 3), []
+        for at, x, gate, bit in self.events(True):
+            again = np.repeat(np.arange(len(at)), self.c[at].astype(np.int64))
+            parts.append([*[y[again] for y in x], gate[again].astype(np.int8), bit[again].astype(np.int8)])
+        if not parts:
+            return m
+        cols = [np.concatenate(p) for p in zip(*parts, strict=True)]
+        order = np.random.default_rng(1).permutation(len(cols[0]))
+        for s in _slices(len(order), 4096):
+            x = [c[order[s]] for c in cols]
+            m.learn(x[:3], x[3].astype(np.int64), x[4].astype(np.int64))
+        return m
+
+    def scores(self, m: Mixer) -> np.ndarray:
+        """The log10 probability of each token."""
+        out = np.zeros(len(self.sym))
+        for at, x, gate, bit in self.events(False):
+            for s in _slices(len(at)):
+                out[at[s]] += m.log10_of([y[s] for y in x], gate[s], bit[s])
+        return out[self.row]
+
+
+def averaged(mixers: Iterator[Mixer], fresh: Mixer) -> Mixer:
+    """Weights and maps averaged gate by gate, by the events that each mixer saw."""
+    w, apm, seen = np.zeros(fresh.w.shape), np.zeros(fresh.apm.shape), np.zeros(fresh.gates)
+    for m in mixers:
+        w += m.w * m.seen[:, None]
+        apm += m.apm * m.seen[:, None]
+        seen += m.seen
+    some = seen > 0
+    fresh.w[some] = w[some] / seen[some, None]
+    fresh.apm[some] = apm[some] / seen[some, None]
+    fresh.seen = seen
+    return fresh
 
 
 def letter_events(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -225,32 +381,10 @@ def letter_events(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.
 
 
 _expanded: dict[str, list[np.ndarray]] = {}
-_SCALE = 4096
-
-
-def packed(tables: list[np.ndarray]) -> list[np.ndarray]:
-    """Each slot's logit (in 1/4096) and confidence in one integer, for scoring: one
-    look-up in place of two logarithms an event."""
-    out = []
-    for n in tables:
-        made = np.empty(len(n) // 2, np.int32)
-        for a in range(0, len(made), _BLOCK):
-            pair = n[2 * a : 2 * (a + _BLOCK)].reshape(-1, 2).astype(np.float32)
-            total = pair.sum(1)
-            sure = (total > 0).astype(np.int32) + (total > 2) + (total > 15)
-            made[a : a + _BLOCK] = np.rint(np.log((pair[:, 1] + 0.4) / (pair[:, 0] + 0.4)) * _SCALE).astype(np.int32) << 2 | sure
-        out.append(made)
-    return out
-
-
-def unpacked(table: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    v = table.take(slot)
-    return (v >> 2).astype(np.float32) * np.float32(1 / _SCALE), v & 3
 
 
-def expanded(name: str, blocks: list[tuple[int, int, bytes]], bits: tuple[int, ...], pack: bool = False) -> list[np.ndarray]:
-    """A model's tables from their compressed blocks, once for each worker process; with
-    ``pack`` as ``packed`` has them."""
+def expanded(name: str, blocks: list[tuple[int, int, bytes]], bits: tuple[int, ...]) -> list[np.ndarray]:
+    """A model's tables from their compressed blocks, once for each worker process."""
     if name not in _expanded:
         if len(_expanded) >= 3:  # those of an earlier model
             _expanded.clear()
@@ -258,7 +392,7 @@ def expanded(name: str, blocks: list[tuple[int, int, bytes]], bits: tuple[int, .
         for k, j, data in blocks:
             part = np.frombuffer(zlib.decompress(data), "<u2")
             out[k][j * _BLOCK : j * _BLOCK + len(part)] = part
-        _expanded[name] = packed(out) if pack else out
+        _expanded[name] = out
     return _expanded[name]
 
 
@@ -311,7 +445,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return map_arrow(_few(texts.select("text")), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _token_chunks(batches: Iterator[pa.RecordBatch], words: Words, end: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def _token_chunks(batches: Iterator[pa.RecordBatch], words: Words, end: int, size: int = CHUNK_TOKENS) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Runs of whole texts: ([(uid, id, bytes, rare words)], ids, starts)."""
     rows, ids, starts = [], [], []
     for batch in batches:
@@ -323,7 +457,7 @@ def _token_chunks(batches: Iterator[pa.RecordBatch], words: Words, end: int) ->
             ids.extend(map(words.__getitem__, raw.lower().split()))
             ids.append(end)
             rows.append((uid.as_py(), i.as_py(), len(raw), words.rare))
-            if len(ids) >= CHUNK_TOKENS:
+            if len(ids) >= size:
                 yield rows, np.array(ids, np.int64), np.array(starts)
                 rows, ids, starts = [], [], []
     if rows:
@@ -335,17 +469,19 @@ def _slices(n: int, size: int = 1 << 16) -> Iterator[slice]:
         yield slice(a, a + size)
 
 
-def score_texts(docs: DataFrame, train: DataFrame, *, sample_docs: int = 2000, sample_words: int = 100_000, dictionary: int = DICTIONARY) -> DataFrame:
-    """Score (uid, id, text binary) rows by a model of the ``train`` rows of that shape:
-    (id, n_tokens, n_known, train_tokens, base_score, score, n_bytes)."""
+def score_texts(docs: DataFrame, *, sample_docs: int | None = None, sample_words: int = 100_000, dictionary: int | None = None) -> DataFrame:
+    """Score (uid, id, text binary, learn) rows by a model of those to ``learn`` from:
+    (id, n_tokens, n_known, train_tokens, base_score, score, n_bytes). ``sample_docs`` has
+    no effect any more: weights come from all training rows."""
     spark = docs.sparkSession
     context = spark.sparkContext
+    train = docs.where("learn")
     vocab = materialise(word_counts(train), "lm-vocab")
     n_docs = train.count()
-    top = vocab.where(F.col("c") >= LEAST_COUNT).orderBy(F.desc("c"), "word").limit(dictionary).collect()  # bounded
-    words, counts = [bytes(r["word"]) for r in top], [r["c"] for r in top]
     total = vocab.agg(F.sum("c").alias("c"), F.count("*").alias("v")).first()
     n_all, v_all = (total["c"] or 0) + n_docs, total["v"] + (n_docs > 0)
+    top = vocab.where(F.col("c") >= LEAST_COUNT).orderBy(F.desc("c"), "word").limit(dictionary or dictionary_size(n_all)).collect()  # grows as a square root
+    words, counts = [bytes(r["word"]) for r in top], [r["c"] for r in top]
     rare = vocab.join(F.broadcast(spark.createDataFrame([(bytearray(w),) for w in words], "word binary")), "word", "left_anti")
     rare = materialise(rare, "lm-rare")
     r = rare.agg(F.sum("c").alias("c"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()
@@ -354,14 +490,84 @@ def score_texts(docs: DataFrame, train: DataFrame, *, sample_docs: int = 2000, s
     code = Code.of([*counts, max(n_docs, 1), max(n_rare, 1)])
     lexicon = context.broadcast((words, code))
 
-    def count_words(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-        known, code = lexicon.value
-        n = [np.zeros(2 << b, np.uint32) for b in WORD_BITS]
-        for _, ids, starts in _token_chunks(batches, Words(known, escape), end):
-            token, node, bit, ctx = word_events(ids, starts, code, escape)
-            for k, b in enumerate(WORD_BITS):
-                np.add.at(n[k], slots(ctx[k][token], node, b, k) * 2 + bit, np.uint32(1))
-        return n
+    shards = n_all // SHARD_TOKENS + 1
+    before = np.array([n_docs, *counts, 0, 0], np.int64)  # by the word before, plus 1
+    splits = np.where(before > HOT_TOKENS, 1 + 2 * before // SHARD_TOKENS, 1) if shards > 1 else np.ones(len(before), np.int64)
+    dealt = context.broadcast(splits)
+
+    def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each shard, a run of texts' tokens in it."""
+        known, _ = lexicon.value
+        learns: dict[int, bool] = {}
+
+        def noted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                learns.update(zip(batch.column("uid").to_pylist(), batch.column("learn").to_pylist(), strict=True))
+                yield batch
+
+        for rows, ids, starts in _token_chunks(noted(), Words(known, escape), end, WIDE_TOKENS):
+            size = np.diff(np.append(starts, len(ids)))
+            uid = np.repeat(np.array([r[0] for r in rows], np.int64), size)
+            learn = np.repeat(np.array([learns.pop(r[0]) for r in rows], np.int64), size)
+            one, two = contexts(ids, starts)
+            shard = shard_of(one, part_of(one, two, dealt.value), shards)
+            sym = np.minimum(ids, escape)
+            order = np.lexsort((sym, two, one, shard))
+            cols = [c[order] for c in (one, two, sym, uid, learn)]
+            edge = np.flatnonzero(_edges(shard[order]))
+            for part in np.array_split(np.arange(len(edge)), len(edge) // 500 + 1):
+                data = [pack_arrays([c[edge[k] : edge[k + 1] if k + 1 < len(edge) else None] for c in cols]) for k in part]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[order][edge[part]]), pa.array(data, pa.binary())], ["shard", "data"])
+
+    def hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(one, sym, c): training counts after the words that several shards share."""
+        for batch in batches:
+            for x in batch.column("data"):
+                one, _, sym, _, learn = unpack_arrays(x.as_py(), 5)
+                at = np.flatnonzero((dealt.value[np.minimum(one, len(splits) - 1)] > 1) & (learn > 0))
+                if len(at):
+                    both, c = np.unique(one[at] * (escape + 1) + sym[at], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(both // (escape + 1)), pa.array(both % (escape + 1)), pa.array(c)], ["one", "sym", "c"])
+
+    def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, sym, c = (batch.column(k).to_numpy() for k in ("one", "sym", "c"))
+            n = dealt.value[one]
+            again = np.repeat(np.arange(len(one)), n)
+            part = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
+            for s in _slices(len(again)):
+                k = again[s]
+                yield pa.RecordBatch.from_arrays([pa.array(shard_of(one[k], part[s], shards)), pa.array(one[k]), pa.array(sym[k]), pa.array(c[k])], ["shard", "one", "sym", "c"])
+
+    def learn_shard(own: pa.Table, hot: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return pa.table({"data": pa.array([], pa.binary()), "hot": pa.array([], pa.binary()), "m": pa.array([], pa.binary())})
+        _, code = lexicon.value
+        cols = [np.concatenate(x) for x in zip(*[unpack_arrays(d.as_py(), 5) for d in own.column("data")], strict=True)]
+        # Two parts of one word may fall into one shard: its counts are the same in both.
+        shared = hot.group_by(["one", "sym"]).aggregate([("c", "max")])
+        hot_cols = [shared.column(k).to_numpy().astype(np.int64) for k in ("one", "sym", "c_max")]
+        m = Shard(cols[0], cols[1], cols[2], cols[4], code, hot_cols).learned()
+        order = np.lexsort((cols[2], cols[1], cols[0]))
+        return pa.table({"data": pa.array([pack_arrays([c[order] for c in cols])], pa.binary()), "hot": pa.array([pack_arrays(hot_cols)], pa.binary()), "m": pa.array([pickle.dumps(m)], pa.binary())})
+
+    def score_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(bucket, data): texts' sums in a shard; a bucket is 512 neighbouring texts."""
+        _, code = lexicon.value
+        for batch in batches:
+            for data, hot in zip(batch.column("data"), batch.column("hot"), strict=True):
+                one, two, sym, uid, learn = unpack_arrays(data.as_py(), 5)
+                score = Shard(one, two, sym, learn, code, unpack_arrays(hot.as_py(), 3)).scores(by_word.value)
+                texts, at = np.unique(uid, return_inverse=True)
+                sums = np.bincount(at, score).astype("<f4").view("<i4").astype(np.int64)
+                edge = np.flatnonzero(_edges(texts >> 9))
+                rows = [pack_arrays([x[a:b] for x in (texts, sums)]) for a, b in zip(edge, [*edge[1:], len(texts)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(texts[edge] >> 9), pa.array(rows, pa.binary())], ["bucket", "data"])
+
+    def add_texts(t: pa.Table) -> pa.Table:
+        parts = [unpack_arrays(d.as_py(), 2) for d in t.column("data")]
+        texts, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return pa.table({"uid": texts, "score": np.bincount(at, np.concatenate([p[1] for p in parts]).astype("<i4").view("<f4").astype(np.float64))})
 
     def count_letters(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
         n = [np.zeros(2 << b, np.uint32) for b in LETTER_BITS]
@@ -372,25 +578,19 @@ def score_texts(docs: DataFrame, train: DataFrame, *, sample_docs: int = 2000, s
                     np.add.at(n[k], at[k] * 2 + bit, np.uint32(1))
         return n
 
-    tables = context.broadcast(_tables(_few(train), count_words))
+    tokens = map_arrow(docs.select("uid", "id", "text", "learn"), token_rows, "shard int, data binary")
+    if (splits > 1).any():
+        tokens = materialise(tokens, "lm-tokens")
+        hot = map_arrow(tokens.select("data"), hot_rows, "one long, sym long, c long").groupBy("one", "sym").agg(F.sum("c").alias("c"))
+    else:
+        hot = spark.createDataFrame([], "one long, sym long, c long")
+    hot = map_arrow(hot, to_shards, "shard int, one long, sym long, c long")
+    learned_shards = tokens.groupBy("shard").cogroup(hot.groupBy("shard")).applyInArrow(learn_shard, "data binary, hot binary, m binary")
+    shard_rows = materialise(learned_shards, "lm-shards", **{"parquet.block.size": 8 << 20})
+    mixers = (pickle.loads(r["m"]) for r in shard_rows.select("m").toLocalIterator())
+    by_word = context.broadcast(averaged(mixers, Mixer(16, 3)))
     letters = context.broadcast(_tables(_few(rare.select("word")), count_letters))
     model = uuid.uuid4().hex
-    zero = np.log((code.ones + 0.4) / (code.zeros + 0.4)).astype(np.float32)
-    first = context.broadcast(zero)
-
-    def word_inputs(ids, starts, own: bool):
-        _, code = lexicon.value
-        token, node, bit, ctx = word_events(ids, starts, code, escape)
-        n = expanded(f"{model}-words-{own}", tables.value, WORD_BITS, not own)
-        for s in _slices(len(token)):
-            inputs, gate = [first.value[node[s]]], 0
-            for k, b in enumerate(WORD_BITS):
-                slot = slots(ctx[k].take(token[s]), node[s], b, k)
-                x, sure = logits(n[k], slot, bit[s]) if own else unpacked(n[k], slot)
-                inputs.append(x)
-                gate = gate * 4 + sure
-            yield token[s], inputs, gate, bit[s]
-
     def letter_inputs(part: list[bytes], own: bool):
         word, at, bit = letter_events(part)
         n = expanded(f"{model}-letters", letters.value, LETTER_BITS)
@@ -401,14 +601,6 @@ def score_texts(docs: DataFrame, train: DataFrame, *, sample_docs: int = 2000, s
             gate = (gate * 4 + sure) % 64
         return word, inputs, gate, bit
 
-    def learn_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Mixer(16, 1 + len(WORD_BITS))
-        for _, ids, starts in _token_chunks(batches, Words(lexicon.value[0], escape), end):
-            for _, inputs, gate, bit in word_inputs(ids, starts, True):
-                for s in _slices(len(bit), 4096):
-                    m.learn([x[s] for x in inputs], gate[s], bit[s])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(m)])], ["m"])
-
     def learn_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Mixer(64, len(LETTER_BITS))
         for batch in batches:
@@ -422,9 +614,6 @@ def score_texts(docs: DataFrame, train: DataFrame, *, sample_docs: int = 2000, s
         rows = map_arrow(sample, run, "m binary").collect()
         return pickle.loads(rows[0]["m"]) if rows else fresh  # an empty table has no task
 
-    chosen = train.select("uid").orderBy(F.xxhash64("uid"), "uid").limit(sample_docs)
-    sample = train.join(F.broadcast(chosen), "uid").repartition(1).sortWithinPartitions(F.xxhash64("uid"))
-    by_word = context.broadcast(learned(sample.select("uid", "id", "text"), learn_words, Mixer(16, 1 + len(WORD_BITS))))
     spelled = rare.orderBy(F.xxhash64("word"), "word").limit(sample_words).select("word").repartition(1).sortWithinPartitions(F.xxhash64("word"))
     by_letter = context.broadcast(learned(spelled, learn_letters, Mixer(64, len(LETTER_BITS))))
     logs = context.broadcast(np.log10(np.array([*counts, n_docs], np.float64) + 1))
@@ -432,19 +621,14 @@ def score_texts(docs: DataFrame, train: DataFrame, *, sample_docs: int = 2000, s
     schema = "uid long, id long, word binary, n long, n_tokens long, n_known long, n_bytes long, base double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text with its dictionary part, and one for each of its other
+        """A row for each text with its counts, and one for each of its other
         words."""
-        m, log_of = by_word.value, logs.value
+        log_of = logs.value
         for rows, ids, starts in _token_chunks(batches, Words(lexicon.value[0], escape), end):
-            bits = np.zeros(len(ids))
-            for token, inputs, gate, bit in word_inputs(ids, starts, False):
-                # Tokens of a slice lie together, so the sums cover that stretch alone.
-                a, b = int(token[0]), int(token[-1]) + 1
-                bits[a:b] += np.bincount(token - a, m.log10_of(inputs, gate, bit), b - a)
             base = np.where(ids <= end, log_of[np.minimum(ids, end)], 0)
             known = np.where(ids < end, 1, np.where(ids == end, known_end, 0))
             size = np.diff(np.append(starts, len(ids)))
-            sums = [np.add.reduceat(x, starts) for x in (known, base, bits)]
+            sums = [np.add.reduceat(x, starts) for x in (known, base)]
             uid, i, n_bytes, rare = zip(*rows, strict=True)
             # The first of a text's equal words is spelled; later ones are recalled.
             again, u, w, n = np.zeros(len(rows)), [], [], []
@@ -458,7 +642,7 @@ def score_texts(docs: DataFrame, train: DataFrame, *, sample_docs: int = 2000, s
                 w += before
                 n += before.values()
             none = pa.nulls(len(rows), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(i, pa.int64()), none, pa.array(np.ones(len(rows), np.int64)), pa.array(size), pa.array(sums[0].astype(np.int64)), pa.array(n_bytes, pa.int64()), pa.array(sums[1]), pa.array(sums[2] + again)], [f.split()[0] for f in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(i, pa.int64()), none, pa.array(np.ones(len(rows), np.int64)), pa.array(size), pa.array(sums[0].astype(np.int64)), pa.array(n_bytes, pa.int64()), pa.array(sums[1]), pa.array(again)], [f.split()[0] for f in schema.split(", ")])
             if u:
                 zeros, longs = pa.array(np.zeros(len(u))), pa.array(np.zeros(len(u), np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.nulls(len(u), pa.int64()), pa.array(w, pa.binary()), pa.array(n, pa.int64()), longs, longs, longs, zeros, zeros], [f.split()[0] for f in schema.split(", ")])
@@ -490,6 +674,9 @@ def score_texts(docs: DataFrame, train: DataFrame, *, sample_docs: int = 2000, s
     joined = rows.join(rare.hint("merge"), "word", "left")
     joined = joined.select("uid", "id", "word", "n", "n_tokens", "n_known", "n_bytes", "base", "score", "c")
     parts = map_arrow(joined, spell, "uid long, id long, n_tokens long, n_known long, n_bytes long, base double, score double")
+    summed = map_arrow(shard_rows.select("data", "hot"), score_shards, "bucket long, data binary").groupBy("bucket").applyInArrow(add_texts, "uid long, score double")
+    zeros = [F.lit(0).cast(t).alias(c) for c, t in (("n_tokens", "long"), ("n_known", "long"), ("n_bytes", "long"), ("base", "double"))]
+    parts = parts.unionByName(summed.select("uid", F.lit(None).cast("long").alias("id"), *zeros, "score"))
     out = parts.groupBy("uid").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "n_bytes", "base", "score")])
     base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(n_all + v_all + 1)))
     return out.select("id", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes")
@@ -498,7 +685,7 @@ def score_texts(docs: DataFrame, train: DataFrame, *, sample_docs: int = 2000, s
 def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, **options) -> DataFrame:
     """Score every row; learn from those that aren't held out."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    scored = score_texts(rows, rows.where(~held_out(F.col("id"), modulus)), **options)
+    scored = score_texts(rows.withColumn("learn", ~held_out(F.col("id"), modulus)), **options)
     bits = -F.col("score") * F.lit(float(np.log2(10))) / F.greatest("n_bytes", F.lit(1))
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id"), modulus).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", bits.alias("bits_per_byte"))
 
