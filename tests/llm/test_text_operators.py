@@ -171,6 +171,20 @@ def test_substring_dedup_removes_short_repeats(spark):
     assert {(r["doc_id"], text[r["doc_id"]][r["start"] : r["end"]], r["n_words"], r["kept_doc_id"]) for r in found} == {(2, "Licensed under CC BY-NC 4.0.", 5, 1), (3, "licensed under CC  BY-NC 4.0.", 5, 1), (4, "Stop.", 1, 3)}
 
 
+def test_substring_dedup_rows_with_one_id_or_none(spark):
+    a, b, own = "This passage is shared by rows.", "And so is this one.", "Only here {}."
+    rows = [(None, f"{a} {own.format(1)}"), (None, f"{a} {own.format(2)}"), (5, f"{b} {own.format(3)}"), (5, f"{b} {own.format(4)}"), (7, a), (7, a), (None, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = substring_dedup.remove_spans(df, substring_dedup.repeated_spans(df)).collect()
+    assert len(out) == len(rows)
+    left = [r["text"] for r in out]
+    assert sum(a in t for t in left) == 1 and sum(b in t for t in left) == 1
+    assert all(sum(own.format(k) in t for t in left) == 1 for k in (1, 2, 3, 4))
+    assert {r["kept_doc_id"] for r in substring_dedup.repeated_spans(df).collect()} == {5, 7}
+    nulls = spark.createDataFrame([(None, a), (None, a)], "doc_id long, text string")
+    assert [r["kept_doc_id"] for r in substring_dedup.repeated_spans(nulls).collect()] == [None]
+
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 

@@ -12,10 +12,9 @@ A digest's earliest document is a partially aggregated minimum, and only digests
 occur twice are joined back, through a written table, so that a digest that fills a third
 of the rows is summed before it moves and its join can be split.
 
-Defined results: null, empty and white-space texts have no units; ties of rank fall to the
-order inside the text; rows that repeat an id count as that document's text once more
-(each row's repeated units go, the first row's too only if an earlier document has them);
-an empty table gives no rows; other columns are ignored.
+Defined results: null, empty and white-space texts have no units; each row is a document of
+its own, with a repeated or null id too: rank is the id (null last), then the text's hash,
+then the row's number, so of equal rows one stays; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -73,40 +72,47 @@ def units(b: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     return {"row": row, "ord": np.arange(len(row)) - first[row], "start": points[start] - base, "end": points[end] - base, "words": j - i, "h1": out[0], "h2": out[1], "again": again}
 
 
-def unit_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _numbered(row_col: str | None) -> Column:
+    """A row's key: the caller's, or its place in the table as it is read."""
+    return F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
+
+
+def unit_rows(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
     names = ("ord", "start", "end", "words", "h1", "h2", "again")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, b, off in pieces(batch, "text"):
                 u = units(b, off)
-                ids = part.column("id").take(pa.array(u["row"]))
+                at = pa.array(u["row"])
+                keys = [part.column(k).take(at) for k in ("id", "text_hash", "row")]
                 cols = [pa.array(u[k].astype(bool if k == "again" else np.int64)) for k in names]
-                yield pa.RecordBatch.from_arrays([ids, *cols], ["id", *names])
+                yield pa.RecordBatch.from_arrays([*keys, *cols], ["id", "text_hash", "row", *names])
 
-    keep = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_arrow(keep, run, "id long, ord long, start long, end long, words long, h1 long, h2 long, again boolean")
+    keep = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), _numbered(row_col).alias("row"), F.col(text_col).alias("text"))
+    return map_arrow(keep, run, "id long, text_hash long, row long, ord long, start long, end long, words long, h1 long, h2 long, again boolean")
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1) -> DataFrame:
-    """(doc_id, start, end, n_units, n_words, kept_doc_id): the stretches to remove, where
-    the earliest document with one of a stretch's units is ``kept_doc_id``. Rank is the
-    id; a null id comes last."""
-    found = unit_rows(docs, id_col, text_col)
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, min_words: int = 1) -> DataFrame:
+    """(doc_id, start, end, n_units, n_words, kept_doc_id, text_hash, row): the stretches to
+    remove, where the earliest document with one of a stretch's units is ``kept_doc_id``.
+    ``row`` is the row's key: ``row_col``, unique, or else the row's place in the table."""
+    found = unit_rows(docs, id_col, text_col, row_col)
     last = F.lit((1 << 63) - 1)
-    first = found.groupBy("h1", "h2").agg(F.min(F.coalesce("id", last)).alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rank = F.struct(F.coalesce("id", last).alias("id"), "text_hash", "row")
+    first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = materialise(first, "unit-firsts")
-    hit = found.join(first, ["h1", "h2"]).where(F.col("again") | (F.coalesce("id", last) > F.col("first_id")))
-    by_doc = W.partitionBy("id").orderBy("ord", "start")
-    runs = hit.withColumn("run", F.col("ord") - F.row_number().over(by_doc))
-    out = runs.groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("words").alias("n_words"), F.min("first_id").alias("kept_doc_id"))
-    return out.where(F.col("n_words") >= min_words).select(F.col("id").alias(id_col), "start", "end", "n_units", "n_words", "kept_doc_id")
+    hit = found.join(first, ["h1", "h2"]).where(F.col("again") | (rank > F.col("first"))).withColumn("first_id", F.col("first.id"))
+    runs = hit.withColumn("run", F.col("ord") - F.row_number().over(W.partitionBy("row").orderBy("ord")))
+    out = runs.groupBy("row", "run").agg(F.max("id").alias("id"), F.max("text_hash").alias("text_hash"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("words").alias("n_words"), F.min("first_id").alias("kept"))
+    return out.where(F.col("n_words") >= min_words).select(F.col("id").alias(id_col), "start", "end", "n_units", "n_words", F.nullif("kept", last).alias("kept_doc_id"), "text_hash", "row")
 
 
-def remove_spans(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the stretches cut out, and ``removed``: their original offsets."""
-    lists = found.groupBy(F.col(id_col).alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    joined = docs.join(lists, F.col(id_col) == F.col("__id"), "left").drop("__id")
+def remove_spans(docs: DataFrame, found: DataFrame, *, text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``docs`` with the stretches cut out, and ``removed``: their original offsets. Without
+    a ``row_col``, ``docs`` must be the table that ``found`` was made from, read alike."""
+    lists = found.groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    joined = docs.withColumn("__key", _numbered(row_col)).join(lists, F.col("__key") == F.col("__row"), "left").drop("__row", "__key")
     nothing = F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("at"))
     text = F.col(text_col)
     cut = F.aggregate("removed", nothing, lambda a, x: F.struct(F.concat(a["t"], F.substr(text, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int"))).alias("t"), x["end"].alias("at")))
@@ -115,4 +121,4 @@ def remove_spans(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", t
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents"))
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("row")
