@@ -285,3 +285,23 @@ def test_lm_scores_do_not_depend_on_shards(docs, monkeypatch):
     monkeypatch.setattr(lm_scoring, "HOT_TOKENS", 20)
     for a, b in zip(whole, score(), strict=True):
         assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-5)
+
+
+def test_lm_weights_come_from_all_training_rows(docs, rows, monkeypatch):
+    """Each bit of each training token and of each spelled word is an event."""
+    seen, whole = {}, lm_scoring.averaged
+
+    def noting(mixers, fresh):
+        m = whole(mixers, fresh)
+        seen[fresh.gates] = m.seen.sum()
+        return m
+
+    monkeypatch.setattr(lm_scoring, "averaged", noting)
+    lm_scoring.lm_scores(docs, sample_docs=1, sample_words=1, dictionary=200).count()
+    c = Counter()
+    for i, t, *_ in rows:
+        if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2:
+            c.update((t or "").encode().lower().split())
+    top = sorted((w for w in c if c[w] >= lm_scoring.LEAST_COUNT), key=lambda w: (-c[w], w))[:200]
+    assert seen[64] == sum(8 * (len(w) + 1) for w in c if w not in set(top))
+    assert seen[16] >= sum(c.values())

@@ -15,8 +15,9 @@ whatever the input. The shard of a token follows from the word before; a word th
 fills much of a shard is dealt out by the word before that too, and its one-word counts are
 summed apart and joined. The dictionary grows with the square root of the corpus. A shard
 learns mixing weights from all its training tokens, each with its own count taken out, as
-if held out; shards' weights are averaged by events seen. Letter tables still have a fixed
-number of slots, and spelling's weights come from ``sample_words`` words.
+if held out; shards' weights are averaged by events seen. Spelling's
+weights are learned by task from all training words outside the dictionary and averaged in
+the same way. Letter tables still have a fixed number of slots.
 
 Words outside the dictionary: after the escape, a known word has the probability of its
 count, less the mass of unseen words (as many as words seen once, by Good and Turing);
@@ -469,10 +470,10 @@ def _slices(n: int, size: int = 1 << 16) -> Iterator[slice]:
         yield slice(a, a + size)
 
 
-def score_texts(docs: DataFrame, *, sample_docs: int | None = None, sample_words: int = 100_000, dictionary: int | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, *, sample_docs: int | None = None, sample_words: int | None = None, dictionary: int | None = None) -> DataFrame:
     """Score (uid, id, text binary, learn) rows by a model of those to ``learn`` from:
-    (id, n_tokens, n_known, train_tokens, base_score, score, n_bytes). ``sample_docs`` has
-    no effect any more: weights come from all training rows."""
+    (id, n_tokens, n_known, train_tokens, base_score, score, n_bytes). ``sample_docs``
+    and ``sample_words`` have no effect any more: weights come from all training rows."""
     spark = docs.sparkSession
     context = spark.sparkContext
     train = docs.where("learn")
@@ -610,12 +611,8 @@ def score_texts(docs: DataFrame, *, sample_docs: int | None = None, sample_words
                     m.learn([x[s] for x in inputs], gate[s], bit[s])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(m)])], ["m"])
 
-    def learned(sample: DataFrame, run, fresh: Mixer) -> Mixer:
-        rows = map_arrow(sample, run, "m binary").collect()
-        return pickle.loads(rows[0]["m"]) if rows else fresh  # an empty table has no task
-
-    spelled = rare.orderBy(F.xxhash64("word"), "word").limit(sample_words).select("word").repartition(1).sortWithinPartitions(F.xxhash64("word"))
-    by_letter = context.broadcast(learned(spelled, learn_letters, Mixer(64, len(LETTER_BITS))))
+    spelled = map_arrow(_few(rare.select("word")), learn_letters, "m binary").toLocalIterator()
+    by_letter = context.broadcast(averaged((pickle.loads(r["m"]) for r in spelled), Mixer(64, len(LETTER_BITS))))
     logs = context.broadcast(np.log10(np.array([*counts, n_docs], np.float64) + 1))
     known_end = int(n_docs > 0)
     schema = "uid long, id long, word binary, n long, n_tokens long, n_known long, n_bytes long, base double, score double"
