@@ -7,6 +7,7 @@ Word hashes are polynomial prefix hashes mod 2**64 with a murmur finaliser.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,7 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at a time; one longer document is one piece.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
+#: Most rows that go to a Python worker at once: texts are long, and both sides hold a batch.
+BATCH_ROWS = 2000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _R = 0x9E3779B97F4A7C55 | 1
 _M64 = (1 << 64) - 1
 _RINV = pow(_R, -1, 1 << 64)
@@ -30,9 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where none is named (tests)."""
+    """The folder all executors see; a temporary one only where none is named and all
+    runs on one machine, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="xqengine-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -43,14 +50,40 @@ def materialise(df: DataFrame, name: str, **options) -> DataFrame:
     executor costs only a reread."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and nothing reads any more."""
+    for df in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release() -> None:
+    """Give memory that a task no longer uses back to the system: workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` whose workers can import this package. Where it lies in a folder they
     don't see, ship it with --py-files."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH_ROWS)) > BATCH_ROWS:
+        conf.set(_BATCH_ROWS, BATCH_ROWS)
     df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy, schema)
 
 
 def held_out(doc_id, modulus: int):

@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from xqengine.llm.common import map_arrow, materialise, partitions_for, shared_dir, table
-from xqengine.llm.tokens import encoder
+from xqengine.llm.common import discard, map_arrow, materialise, partitions_for, shared_dir, table
+from xqengine.llm.tokens import encoder, forget
 
 MAGIC = b"XQR1"
-LANES = 512
+LANES = 2048
 CHECKPOINT_STEPS = 64
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 19
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sHHIIII")
 
@@ -167,23 +167,29 @@ def tokens_in(head: bytes) -> int:
 
 
 def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_tokens, crc, ids): little-endian, two bytes an id where all fit, else four."""
+    """(id, n_tokens, crc, ids): little-endian, two bytes an id where all fit, else four.
+    Each task adds a row with ``n_tokens`` -1 that has how often each id occurs in it."""
     keep = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = encoder(tokenizer_path).ids
+        total = np.zeros(0, np.int64)
         for whole in batches:
-            for a in range(0, whole.num_rows, 500):
-                b = whole.slice(a, 500)
-                n, crc, out = [], [], []
+            for a in range(0, whole.num_rows, 200):
+                b = whole.slice(a, 200)
+                n, crc, out, seen = [], [], [], []
                 for t in b.column("text"):
                     raw = ids(t.as_py()) + end
                     n.append(len(raw) >> 2)
                     crc.append(zlib.crc32(raw))
                     x = np.frombuffer(raw, "<u4")
+                    seen.append(x)
                     out.append(b"\2" + x.astype("<u2").tobytes() if not len(x) or x.max() < 1 << 16 else b"\4" + raw)
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(out, pa.binary())], ["id", "n_tokens", "crc", "ids"])
+                total = added(total, np.bincount(np.concatenate(seen)))
+        if len(total):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), pa.array([0]), pa.array([zlib.compress(total.astype("<i8").tobytes(), 1)])], ["id", "n_tokens", "crc", "ids"])
 
     return map_arrow(keep, run, "id long, n_tokens long, crc long, ids binary")
 
@@ -192,21 +198,28 @@ def _ids(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if raw[:1] == b"\2" else "<u4", offset=1)
 
 
+def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of two arrays of counts, as long as the longer."""
+    if len(a) < len(b):
+        a, b = b, a
+    out = a.copy()
+    out[: len(b)] += b
+    return out
+
+
 def count_ids(encoded: DataFrame) -> np.ndarray:
     """How often each id occurs. The driver gets one row for each id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(0, np.int64)
         for b in batches:
             for x in b.column("ids"):
-                got = np.bincount(_ids(x.as_py()))
-                if len(got) > len(total):
-                    total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-                total[: len(got)] += got
+                total = added(total, np.frombuffer(zlib.decompress(x.as_py()), "<i8"))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["token", "n"])
 
-    rows = map_arrow(encoded.select("ids"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    rows = map_arrow(encoded.where("n_tokens = -1").select("ids"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(rows["token"].max()) + 1 if len(rows) else 1, np.int64)
     counts[rows["token"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return counts
@@ -223,6 +236,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_path: str, *, en
     shared = spark.sparkContext.broadcast(counts)  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         t, part = Table.of(shared.value), TaskContext.get().partitionId()
         names = ["part", "seq", "part_start", "doc_ids", "payload"]
         held, n, seq, start = [], 0, 0, 0
@@ -243,9 +257,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_path: str, *, en
         if held:
             yield block()
 
-    ordered = encoded.repartitionByRange(partitions_for(spark), "id").sortWithinPartitions("id", "n_tokens", "crc")
+    ordered = encoded.where("n_tokens >= 0").repartitionByRange(partitions_for(spark), "id").sortWithinPartitions("id", "n_tokens", "crc")
     blocks = map_arrow(ordered.select("id", "ids"), run, "part int, seq int, part_start long, doc_ids array<long>, payload binary")
     blocks.write.parquet(f"{out_path}/blocks")
+    discard(spark, encoded)
 
 
 def read_table(spark: SparkSession, out_path: str) -> Table:
@@ -265,6 +280,7 @@ def read_token_files(spark: SparkSession, out_path: str, with_ids: bool = False)
     heads = blocks.select("part", F.substring("payload", 1, _HEAD.size).alias("head"))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             n = [tokens_in(x.as_py()) for x in b.column("head")]
             yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(n, pa.int64())], ["part", "n"])
@@ -276,6 +292,7 @@ def read_token_files(spark: SparkSession, out_path: str, with_ids: bool = False)
     schema = "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             for start, docs, payload in zip(b.column("start"), b.column("doc_ids"), b.column("payload"), strict=True):
                 ids, lengths = unpack_block(payload.as_py(), shared.value)

@@ -11,12 +11,19 @@ from __future__ import annotations
 
 import array
 import hashlib
+import itertools
 import json
+from collections.abc import Callable, Iterable
 
 import regex
 
-#: Distinct pieces that a worker remembers before it starts anew.
-CACHE_PIECES = 1_000_000
+from xqengine.llm.common import release
+
+#: Distinct pieces that a worker remembers before it starts anew, each with some
+#: 200 bytes.
+CACHE_PIECES = 700_000
+#: Longer ones (in characters) are not remembered.
+LONGEST_PIECE = 100
 #: Marks that often end a word.
 _MARKS = ".,;:!?"
 #: What the library's patterns take for white space (Unicode White_Space).
@@ -24,6 +31,7 @@ _WS = "\t-\r \x85\xa0  -     　"
 _RUNS = regex.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 #: Pieces of these characters need no normalising but lower case (all are NFC-stable).
 _PLAIN = regex.compile("[!-;=-~\\xa1-\\xac\\xae-\\u012f\\u0131-\\u024f]+")
+_PLAIN_TEXT = regex.compile("[\\s!-;=-~\\xa1-\\xac\\xae-\\u012f\\u0131-\\u024f]*+")
 #: The pre-token patterns of the two files' families (fixed values).
 _GPT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _CLIP_TEXT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -40,6 +48,22 @@ def _byte_chars() -> list[str]:
 _BYTE_MAP = {i: c for i, c in enumerate(_byte_chars())}
 
 
+class _Known(dict):
+    """Pieces' ids; those of a piece that isn't there are made and, for a while, kept."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.make(piece)
+        if len(piece) <= LONGEST_PIECE:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = got
+        return got
+
+
 def digest_of_file(path: str) -> str:
     with open(path, "rb") as f:
         return hashlib.sha256(f.read()).hexdigest()
@@ -50,8 +74,8 @@ class PieceEncoder:
     sentencepiece's ``encode`` gives them, as an ``array('I')``'s bytes."""
 
     def __init__(self, path: str):
-        self.cache: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}
+        self.cache = _Known(self._make)
+        self.after = _Known(lambda piece: self._piece(" " + piece))
         if path.endswith(".model"):
             import sentencepiece
 
@@ -72,7 +96,12 @@ class PieceEncoder:
                 self.kind = "leading"
             elif [n.get("type") for n in norm.get("normalizers", ())] == ["NFC", "Replace", "Lowercase"] and [p.get("type") for p in pre.get("pretokenizers", ())] == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["pattern"] == {"Regex": _CLIP_TEXT}:
                 self.kind = "words"
-        self._model = self.tok.model if self.kind != "whole" else None
+        self._tokenize = self.tok.model.tokenize if self.kind != "whole" else None
+
+    def _make(self, piece: str) -> bytes:
+        if self.kind == "words" and piece.isascii() and piece.isalpha():
+            return array.array("I", [t.id for t in self._tokenize(piece.lower())]).tobytes()
+        return self._piece(piece) if piece else b""
 
     def _piece(self, piece: str) -> bytes:
         lead = self.kind == "leading" and piece[:1] == " "
@@ -89,58 +118,33 @@ class PieceEncoder:
             found = [piece] if self.kind != "words" else [low] if low.isalpha() else _CLIP.findall(low)
         else:
             return array.array("I", self._full(piece)).tobytes()
-        tokenize = self._model.tokenize
+        tokenize = self._tokenize
         ids = [t.id for w in found for t in tokenize(w if w.isascii() and w.isalpha() else w.encode().decode("latin-1").translate(_BYTE_MAP))]
         return array.array("I", ids).tobytes()
 
+    def _get(self, piece: str) -> bytes:
+        return self.cache[piece]
+
     def _after(self, piece: str) -> bytes:
         """The ids of a piece that follows a single space."""
-        if (got := self.after.get(piece)) is None:
-            if len(self.after) >= CACHE_PIECES:
-                self.after.clear()
-            got = self._piece(" " + piece)
-            if len(piece) <= 200:
-                self.after[piece] = got
-        return got
-
-    def _get(self, piece: str) -> bytes:
-        if len(piece) > 200:
-            return self._piece(piece)
-        if (got := self.cache.get(piece)) is None:
-            if len(self.cache) >= CACHE_PIECES:
-                self.cache.clear()
-            got = self.cache[piece] = self._piece(piece)
-        return got
+        return self.after[piece]
 
-    def parts(self, text: str) -> list[bytes]:
+    def parts(self, text: str) -> Iterable[bytes]:
         """The ids of the pieces in order, 4 bytes each in native order."""
         if not text:
-            return []
+            return ()
         if self.kind == "whole":
-            return [array.array("I", self._full(text)).tobytes()]
+            return (array.array("I", self._full(text)).tobytes(),)
         if self.kind == "words":
-            units = text.replace("\n", " ").split(" ")
-        elif "  " in text or "\n " in text or " \n" in text or text[-1].isspace() or not text.replace("\n", "").isprintable():
-            units = _RUNS.findall(text)
-        else:
-            return self._led(text.split(" "))
-        out = [*map(self.cache.get, units)]
-        if None in out:
-            for i, x in enumerate(out):
-                if x is None:
-                    out[i] = self._get(units[i]) if units[i] else b""
-        return out
-
-    def _led(self, units: list[str]) -> list[bytes]:
-        """Of pieces that stand after a single space each, but for the first; ``after`` has
-        their ids, by the piece without its space."""
-        out = [*map(self.after.get, units)]
-        out[0] = self._get(units[0]) if units[0] else b""
-        if None in out:
-            for i, x in enumerate(out):
-                if x is None:
-                    out[i] = self._after(units[i])
-        return out
+            if "<" not in text and (text.isascii() or _PLAIN_TEXT.fullmatch(text)):  # no special strings: its letters' case is lost anyway
+                text = text.lower()
+            return map(self.cache.__getitem__, text.replace("\n", " ").split(" "))
+        if "  " in text or "\n " in text or " \n" in text or text[-1].isspace() or not text.replace("\n", "").isprintable():
+            return map(self.cache.__getitem__, _RUNS.findall(text))
+        # Each piece but the first stands after a single space; ``after`` has their ids, by
+        # the piece without its space.
+        first, *units = text.split(" ")
+        return itertools.chain((self.cache[first],), map(self.after.__getitem__, units))
 
     def count(self, text: str) -> int:
         return sum(map(len, self.parts(text))) >> 2
@@ -157,3 +161,12 @@ def encoder(path: str) -> PieceEncoder:
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Empty this worker's caches; tasks that don't encode call it, for workers outlive the
+    stage that filled them."""
+    for known in _encoders.values():
+        for cache in (getattr(known, "cache", {}), getattr(known, "after", {})):
+            cache.clear()
+    release()
