@@ -115,3 +115,126 @@ def test_against_another_parser(spark):
     c = corpus(spark, *made).persist()
     for text, own in (("count(//a)", lambda r: len(list(r.iter("a")))), ("string(/)", lambda r: "".join(r.itertext())), ("count(//b[@k='1']/c)", lambda r: len([x for b in r.iter("b") if b.get("k") == "1" for x in b.findall("c")]))):
         assert values(c, text) == {i: own(ET.fromstring(d)) for i, d in enumerate(made)}
+
+
+def test_quotes_in_tags(spark):
+    """A quote that is closed later runs to there; one that nothing closes is skipped with
+    the character behind it; where the tag then never ends, the document is an error."""
+    c = corpus(spark, '<a x="1>y</a>', '<a x="1> t <b y="2"></b></a>', '<a x="1> t <b y="2" z=">q</b>', "<a x='>z<b/></a>", '<a "" x="v>w"><b/></a>').persist()
+    assert {r["doc_id"]: r["error"]["offset"] for r in c.errors.collect()} == {}
+    assert values(c, "string(/)")[0] == "y" and values(c, "count(//*)")[0] == 1
+    assert values(c, "count(//*)")[1] == 1 and values(c, "count(//*)")[4] == 2
+    bad = corpus(spark, '<a x="1> t <b y="2">', "<a x='").errors.collect()
+    assert {r["doc_id"]: (r["error"]["kind"], r["error"]["offset"]) for r in bad} == {0: ("UnclosedTag", 0), 1: ("UnclosedTag", 0)}
+
+
+def test_failfast_raises_whatever_is_read(spark):
+    docs = spark.createDataFrame([(1, "<a/>"), (2, "<a>x<b")], "doc_id int, content string")
+    bad = shred(docs, mode="FAILFAST")
+    for read in (lambda: bad.nodes.count(), lambda: bad.nodes.select("doc_id").collect(), lambda: api.count_matches(bad, "//a").collect(), lambda: api.compile_xpath("//a").string_values(bad).collect(), lambda: bad.errors.count()):
+        with pytest.raises(Exception, match="UnclosedTag at byte 4"):
+            read()
+    assert shred(docs.where("doc_id = 1"), mode="FAILFAST").nodes.count() == 2
+    with pytest.raises(ValueError):
+        shred(docs, mode="other")
+
+
+def test_shredding_needs_no_exchange(spark):
+    docs = spark.createDataFrame([(1, "<a/>")], "doc_id int, content string")
+    plan = shred(docs).nodes._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_offsets_of_bytes_and_characters(spark):
+    text = "<a k='é'>ü€😀<b>x</b>&lt;é</a>"
+    c = corpus(spark, text)
+    for r in c.nodes.where("kind IN ('element', 'text')").collect():
+        assert text[r["c0"] : r["c1"]] == text.encode()[r["byte_start"] : r["byte_end"]].decode()
+    whole = c.texts.first()["doc_text"]
+    assert whole == "ü€😀x<é" and {whole[r["t0"] : r["t1"]] for r in c.nodes.where("kind = 'text'").collect()} == {"ü€😀", "x", "<é"}
+
+
+def test_attribute_names_are_data(d1):
+    got = d1.nodes.where("kind = 'element'").select(extract.attribute("i").alias("i"), extract.attribute("it's\\").alias("odd")).collect()
+    assert {r["i"] for r in got} == {None, "1", "2"} and {r["odd"] for r in got} == {None}
+
+
+PRUNED = [
+    "//b", "//b/@k", "//a | //@k", "//a[1]", "//a/b[2]", "//c/ancestor::a", "//a//b[@k='1']/c", "count(//c[lang('en')])", "namespace-uri(//c)", "count(id('0')/c)", "//c/namespace::g", "//b/..", "//a[b]/c",
+    "//a/following-sibling::b", "//b/self::b", "(//b)[2]", "string(//a[last()])", "//a[count(b) > 1]", "//b[contains(., 't')]", "/a/b/text()", "//*[self::b]", "//a/descendant::b[1]", "//descendant::a[2]", "sum(//@k)", "//b[not(c)]", "name(//b[1]/*)",
+]
+
+
+def test_pruning_by_names_never_changes_results(spark):
+    import random
+
+    rnd = random.Random(11)
+
+    def tree(depth: int) -> str:
+        kids = "".join(tree(depth - 1) if rnd.random() < 0.7 else "t" for _ in range(rnd.randrange(4))) if depth else "x"
+        name = rnd.choice("abc")
+        return f'<{name} id="{rnd.randrange(9)}" k="{rnd.randrange(3)}"{rnd.choice(["", " xml:lang=" + chr(34) + "en" + chr(34), " xmlns=" + chr(34) + "u" + chr(34), " xmlns:g=" + chr(34) + "v" + chr(34)])}>{kids}</{name}>'
+
+    docs = spark.createDataFrame([(i, tree(5)) for i in range(12)], "doc_id int, content string").cache()
+    whole = shred(docs).persist()
+    for text in PRUNED:
+        x = api.compile_xpath(text)
+        few = shred(docs, for_xpath=text)
+        if x.kind == "nodeset":
+            ids = lambda c: sorted((r["doc_id"], r["node_id"], r["value"]) for r in x.string_values(c).collect())
+        else:
+            ids = lambda c: sorted((r["doc_id"], r["value"]) for r in api.eval_expr(c, text).collect())
+        assert ids(few) == ids(whole), text
+    names = lambda t: api.compile_xpath(t).interesting_names()
+    assert names("//a/b[@k]") == {"a", "b"} and names("//a[1]") is None and names("//c[lang('en')]") is None
+    assert {r["name"] for r in shred(docs, for_xpath="/a/b").nodes.where("kind = 'element'").collect()} <= {"a", "b"}
+
+
+EXTRA = [
+    "//c/ancestor::*[1]", "//b/preceding::a[2]", "//b/following::*", "//a/preceding-sibling::*[last()]", "//@k/..", "//@k/following::b[1]", "//b/namespace::*", "//a[@k = ../b/@k]", "//a[@k < 2 or b]", "//*[position() mod 2 = 0]",
+    "(//a | //b)[last()]", "id(//b/@k)/c", "//a[.//c]/@id", "//text()[contains(., 't')]/ancestor::b", "//a[string-length(.) > 3][2]", "//*[not(*)][1]", "/descendant-or-self::node()/b", "//a/descendant-or-self::a[2]", "//c/preceding-sibling::node()", "//@*[. = '1']",
+    "//comment() | //processing-instruction('p')", "//a[-1 < @k]", "//a[- @k]", "//b[@k != //c/@k]", "//b[@k >= //c/@k]", "//namespace::g/..", "//*[namespace-uri() = 'u']", "//*[lang('en')]/@k", "//a/self::node()/b", "//*[local-name(..) = 'a']",
+    "number(//b[2]/@k)", "string(//a/@k * 1.5)", "count(//a) = count(//b)", "//a = //b", "//a/@k < //b/@k", "//a/@k != //b/@k", "boolean(//zz) = false()", "normalize-space(//a)", "translate(//a, 'tx', 'T')", "substring(//b, 2)", "name(//@*[2])", "sum(//@k) div count(//@k)", "concat(name(//*[last()]), '-', //c)",
+    "namespace-uri(//@*[3])", "lang('en')", "string(//namespace::*[1])", "round(sum(//@id) div 7)", "-count(//c)", "string()", "(//a)[position() < 3]/b | //c",
+]
+
+
+def test_each_document_in_its_row_gives_the_same(spark, d1):
+    """The evaluator of single documents against the plans over the node table."""
+    import random
+
+    from xqengine.plans.interpret import per_document
+
+    rnd = random.Random(12)
+
+    def tree(depth: int) -> str:
+        kids = "".join(tree(depth - 1) if rnd.random() < 0.7 else rnd.choice(["t", "<!--n-->", "<?p q r?>", "é&amp;", "<![CDATA[<]]>"]) for _ in range(rnd.randrange(4))) if depth else "x"
+        name = rnd.choice(["a", "b", "c", "g:a"])
+        more = rnd.choice(["", " xml:lang='en'", " xmlns='u'", " xmlns:g='v'", " xmlns=''"])
+        return f"<{name} id='{rnd.randrange(9)}' k='{rnd.randrange(3)}'{more}>{kids}</{name}>"
+
+    docs = spark.createDataFrame([(i, tree(4)) for i in range(10)] + [(90, ""), (91, "t<a"), (92, None), (93, "</b><a>x<b>"), (94, D1)], "doc_id int, content string").cache()
+    whole = shred(docs).persist()
+    for text in [*PRUNED, *EXTRA, *VALUES, *SCALARS]:
+        x = api.compile_xpath(text)
+        if x.kind == "nodeset":
+            rows = lambda df: sorted((r["doc_id"], r["node_id"], r["kind"], r["name"] or "", r["value"]) for r in df.collect())
+            assert rows(per_document(docs, text)) == rows(x.string_values(whole)), text
+        else:
+            rows = lambda df: sorted((r["doc_id"], "NaN" if r["value"] != r["value"] else r["value"]) for r in df.collect())
+            assert rows(per_document(docs, text)) == rows(api.eval_expr(whole, text)), text
+    plan = per_document(docs, "//a")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    with pytest.raises(Exception, match="UnclosedTag at byte 1"):
+        per_document(docs, "//a", mode="FAILFAST").count()
+
+
+def test_sql_functions(spark):
+    from xqengine.plans.interpret import register_functions
+
+    register_functions(spark)
+    spark.createDataFrame([(1, "<r><a k='1'>x</a><a k='2'>y</a></r>"), (2, None), (3, "<r><a")], "id int, content string").createOrReplaceTempView("xml_docs")
+    got = spark.sql("SELECT id, n.name, n.value FROM xml_docs, LATERAL xml_nodes(content, '//a/@k') n").collect()
+    assert sorted(map(tuple, got)) == [(1, "k", "1"), (1, "k", "2")]
+    one = spark.sql("SELECT xml_string(content, '//a[2]') s, xml_number(content, 'sum(//@k)') n, xml_boolean(content, '//a[@k > 1]') b, xml_texts(content, '//a') t FROM xml_docs ORDER BY id").collect()
+    assert [tuple(r) for r in one] == [("y", 3.0, True, ["x", "y"]), ("", 0.0, False, []), (None, None, None, None)]

@@ -17,15 +17,21 @@ def _slice(text: str, start: Column, end: Column) -> Column:
     return F.substr(F.col(text), (start + 1).cast("int"), (end - start).cast("int"))
 
 
+def _docs_of(corpus: Corpus, nodes: DataFrame) -> DataFrame:
+    """The documents that have one of the nodes: only their contents move to a join."""
+    return corpus.docs.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
 def raw_xml(corpus: Corpus, nodes: DataFrame) -> DataFrame:
     """Add ``raw_xml``: from the open tag through its close, as written."""
-    return nodes.join(corpus.docs, "doc_id").withColumn("raw_xml", _slice("content", F.col("c0"), F.col("c1"))).drop("content")
+    return nodes.join(_docs_of(corpus, nodes), "doc_id").withColumn("raw_xml", _slice("content", F.col("c0"), F.col("c1"))).drop("content")
 
 
 def raw_tag(corpus: Corpus, nodes: DataFrame) -> DataFrame:
     """Add ``raw_tag``: the open tag as written."""
-    tag = F.regexp_extract(_slice("content", F.col("c0"), F.col("c1")), r"""^<(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>""", 0)
-    return nodes.where("kind = 'element'").join(corpus.docs, "doc_id").withColumn("raw_tag", tag).drop("content")
+    tag = F.regexp_extract(_slice("content", F.col("c0"), F.col("c1")), r"""^(?s)<(?:[^"'>]++|"[^"]*+"|'[^']*+'|["'].?)*+>""", 0)
+    own = nodes.where("kind = 'element'")
+    return own.join(_docs_of(corpus, own), "doc_id").withColumn("raw_tag", tag).drop("content")
 
 
 def string_value(corpus: Corpus, nodes: DataFrame) -> DataFrame:
@@ -88,7 +94,8 @@ def is_ancestor(a: str, d: str) -> Column:
 
 def attribute(name: str) -> Column:
     """The decoded value of an element's attribute, null where it has none."""
-    return F.expr(f"try_element_at(filter(attrs, a -> a.name = '{name}'), 1).value")
+    own = F.filter("attrs", lambda a: a["name"] == F.lit(name))
+    return F.try_element_at(own, F.lit(1))["value"]
 
 
 def attribute_names() -> Column:

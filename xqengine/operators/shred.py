@@ -1,156 +1,346 @@
-"""Documents to nodes: tokens by one regular expression, tree columns by windows.
+"""Documents to nodes: one Arrow pass over each document, without an exchange.
 
 Token rules: text is what stands between tags; text after the last tag is dropped; a close
 tag closes the innermost open element whatever its name, and is ignored where none is
 open; unterminated comments and processing instructions run to the end; quoted attribute
-values may hold '>'; a '<' that nothing closes makes the document an error without nodes.
+values may hold '>'; a quote that the rest of the document doesn't close is skipped with
+the character behind it; a '<' that nothing closes makes the document an error without
+nodes.
 
 Node ids are the token's place times 65536, so a node's id is its place in document order
 and an attribute's id lies right after its element's. ``close_id`` ends the interval of a
 node's descendants; ``t0`` and ``t1`` bound its string value inside the document's text,
 which replaces the join that would gather an element's text.
 
-All windows and later joins are by ``doc_id``: one exchange serves them.
+A document is one row, so all of its tree is known where it is read: one regular
+expression cuts it into tokens, and numpy finds depths, parents and ends for all of them
+at once. Memory follows the longest document (some 30 times its bytes).
 """
 
 from __future__ import annotations
 
+import re
+import sys
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from xqengine.functions.values import decode_sql
+#: Executors need no copy of this package: the kernel travels with the plan.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-TOKEN = r"""(?s)<!--.*?-->|<!--.*|<!\[CDATA\[.*?\]\]>|<!\[CDATA\[|<![^>]*>|<\?.*?\?>|<\?.*|</[^>]*>|<(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>|<[^>]*>|[^<]++|<"""
-ATTRIBUTE = r"""\s([^\s=/>"']+)=("[^"]*"|'[^']*')"""
+TOKEN = rb"""(?s)<!--.*?-->|<!--.*|<!\[CDATA\[.*?\]\]>|<!\[CDATA\[|<![^>]*>|<\?.*?\?>|<\?.*|</[^>]*>|<(?:[^"'>]++|"[^"]*+"|'[^']*+'|["'].?)*+>|[^<]++|<"""
+ATTRIBUTE = rb"""\s([^\s=/>"']+)=(?:"([^"]*)"|'([^']*)')"""
 SLOT = 65536
 NODE = ("node_id", "kind", "name", "parent_id", "depth", "close_id", "attrs", "text", "is_cdata", "t0", "t1", "c0", "c1", "byte_start", "byte_end")
+ATTRS_SQL = "array<struct<name:string,value:string,raw:string>>"
+NODE_SQL = f"node_id long, kind string, name string, parent_id long, depth int, close_id long, attrs {ATTRS_SQL}, text string, is_cdata boolean, t0 long, t1 long, c0 long, c1 long, byte_start long, byte_end long"
+_PIECE = 4 << 20
+_ROOT, _TEXT, _COMMENT, _CDATA, _OPENER, _DOCTYPE, _PI, _CLOSE, _SELF, _OPEN, _BAD = range(11)
+_TOKEN_KINDS = ("root", "text", "comment", "cdata", "opener", "doctype", "pi", "close", "selfclose", "open", "bad")
+_NODE_KINDS = ("root", "text", "comment", "text", "", "", "pi", "", "element", "element", "")
+_REFERENCE = re.compile(r"&(?:(amp|lt|gt|apos|quot)|#([0-9]{1,9})|#[xX]([0-9A-Fa-f]{1,7}));")
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "apos": "'", "quot": '"'}
 
 
 @dataclass
 class Corpus:
     """Shredded documents: ``docs`` (doc_id, content), ``nodes`` (doc_id, NODE), ``texts``
-    (doc_id, doc_text) and ``errors`` (doc_id, error)."""
+    (doc_id, doc_text) and ``errors`` (doc_id, error); ``rows`` is what the last three are
+    read from, where there is such a table."""
 
     docs: DataFrame
     nodes: DataFrame
     texts: DataFrame
     errors: DataFrame
+    rows: DataFrame | None = None
+
+    @classmethod
+    def of(cls, docs: DataFrame, rows: DataFrame) -> Corpus:
+        error = F.struct(F.col("name").alias("kind"), F.col("byte_start").alias("offset"), F.col("text").alias("message"))
+        return cls(
+            docs,
+            rows.where("kind <> 'error'").select("doc_id", *NODE),
+            rows.where("kind = 'root'").select("doc_id", "doc_text"),
+            rows.where("kind = 'error'").select("doc_id", error.alias("error")),
+            rows,
+        )
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Corpus:
-        """Keep nodes and texts for several queries, dealt out by document."""
+        """Keep the rows for several queries, dealt out by document."""
+        if self.rows is not None:
+            return Corpus.of(self.docs, self.rows.repartition("doc_id").persist(level))
         return Corpus(self.docs, self.nodes.repartition("doc_id").persist(level), self.texts.repartition("doc_id").persist(level), self.errors)
 
     def unpersist(self) -> None:
-        self.nodes.unpersist()
-        self.texts.unpersist()
+        for kept in (self.nodes, self.texts) if self.rows is None else (self.rows,):
+            kept.unpersist()
+
+
+def decode(raw: bytes) -> str:
+    """Text with the five named and all numeric character references decoded, once; others
+    stay as they are."""
+    text = raw.decode("utf-8", "replace")
+    return _REFERENCE.sub(_referred, text) if "&" in text else text
+
+
+def _referred(m: re.Match) -> str:
+    if m[1]:
+        return _NAMED[m[1]]
+    n = int(m[2]) if m[2] else int(m[3], 16)
+    return chr(n) if 0 < n < 0xD800 or 0xDFFF < n < 0x110000 else m[0]
+
+
+@dataclass
+class Tokens:
+    """A document's tokens in order, as arrays; places count from 1."""
+
+    raw: bytes
+    kind: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    depth: np.ndarray
+    count: int
+
+    @classmethod
+    def of(cls, raw: bytes, find: Callable) -> Tokens:
+        at = np.array([m.end() for m in find(raw)], np.int64)
+        n = len(at)
+        start = np.concatenate([np.zeros(min(n, 1), np.int64), at[:-1]])
+        b = np.frombuffer(raw + b"\0\0\0\0", np.uint8)
+        first, second, third = b[start], b[start + 1], b[start + 2]
+        tag, size = first == 60, at - start
+        bang = tag & (second == 33)
+        kind = np.where(tag, np.where((b[at - 2] == 47) & (b[at - 1] == 62), _SELF, _OPEN), _TEXT)
+        kind[tag & (second == 47)] = _CLOSE
+        kind[tag & (second == 63)] = _PI
+        kind[bang] = _DOCTYPE
+        kind[bang & (third == 45) & (b[start + 3] == 45)] = _COMMENT
+        kind[tag & (size == 1)] = _BAD
+        for i in np.flatnonzero(bang & (third == 91)):
+            if raw.startswith(b"<![CDATA[", start[i]):
+                kind[i] = _CDATA if raw.endswith(b"]]>", start[i] + 9, at[i]) else _OPENER
+        if n and kind[-1] == _TEXT:
+            kind, start, at = kind[:-1], start[:-1], at[:-1]
+        step = (kind == _OPEN).astype(np.int64) - (kind == _CLOSE)
+        s = np.cumsum(step)
+        after = s - np.minimum(0, np.minimum.accumulate(s)) if len(s) else s
+        return cls(raw, kind, start, at, after - (kind == _OPEN), n)
+
+    def bad(self) -> int | None:
+        """The offset of a '<' that nothing closes."""
+        at = np.flatnonzero(self.kind == _BAD)
+        return int(self.start[at[0]]) if len(at) else None
+
+    def chars(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends in characters."""
+        if self.raw.isascii():
+            return self.start, self.end
+        lead = np.zeros(len(self.raw) + 1, np.int64)
+        np.cumsum((np.frombuffer(self.raw, np.uint8) & 0xC0) != 0x80, out=lead[1:])
+        return lead[self.start], lead[self.end]
+
+    def parents(self) -> np.ndarray:
+        """The place of each token's parent; 0 is the root."""
+        n = len(self.kind) + 1
+        opens = np.flatnonzero(self.kind == _OPEN)
+        key = np.sort(self.depth[opens] * n + opens)
+        if not len(key):
+            return np.zeros(n - 1, np.int64)
+        i = np.searchsorted(key, (self.depth - 1) * n + np.arange(n - 1)) - 1
+        found = (i >= 0) & (key[i] // n == self.depth - 1)
+        return np.where(found, key[i] % n + 1, 0)
+
+    def closes(self) -> np.ndarray:
+        """For each open tag the index of the token that closes it, or -1."""
+        order = np.argsort(self.depth, kind="stable")
+        out = np.full(len(order), -1, np.int64)
+        a, b = order[:-1], order[1:]
+        pair = (self.depth[a] == self.depth[b]) & (self.kind[a] == _OPEN) & (self.kind[b] == _CLOSE)
+        out[a[pair]] = b[pair]
+        return out
+
+
+class _Rows:
+    """Node rows of several documents, by column."""
+
+    def __init__(self, names: frozenset[str] | None):
+        self.cols: dict[str, list] = {c: [] for c in (*NODE, "doc_text")}
+        self.counts: list[int] = []
+        self.names = names
+        self.finders = re.compile(TOKEN).finditer, re.compile(ATTRIBUTE).findall
+        self.named = re.compile(rb"[^\s/>]*").match
+
+    def add(self, **part) -> None:
+        n = len(part["node_id"])
+        for c, held in self.cols.items():
+            held.extend(part.get(c) or [None] * n) if c in ("name", "attrs", "text", "doc_text", "kind", "is_cdata") else held.append(part[c])
+
+    def document(self, raw: bytes, strict: bool) -> None:
+        t = Tokens.of(raw, self.finders[0])
+        if (at := t.bad()) is not None:
+            if strict:
+                raise ValueError(f"UnclosedTag at byte {at}")
+            zero = np.zeros(1, np.int64)
+            self.add(node_id=zero, kind=["error"], name=["UnclosedTag"], parent_id=zero, depth=zero, close_id=zero, text=["unclosed tag"], t0=zero, t1=zero, c0=zero, c1=zero, byte_start=zero + at, byte_end=zero + at)
+            self.counts.append(1)
+            return
+        n = len(t.kind)
+        c0, c1 = t.chars()
+        parent, close = t.parents(), t.closes()
+        kinds = t.kind.tolist()
+        name, text, attrs = [None] * n, [None] * n, [None] * n
+        length = np.zeros(n + 1, np.int64)
+        spoken: list[str] = []
+        for i, (k, a, b) in enumerate(zip(kinds, t.start.tolist(), t.end.tolist(), strict=True)):
+            if k == _TEXT or k == _CDATA:
+                x = decode(raw[a:b]) if k == _TEXT else raw[a + 9 : b - 3].decode("utf-8", "replace")
+                text[i], length[i + 1] = x, len(x)
+                spoken.append(x)
+            elif k >= _SELF:
+                name[i] = self.named(raw, a + 1)[0].decode("utf-8", "replace")
+                attrs[i] = [(x.decode("utf-8", "replace"), decode(y or z), (y or z).decode("utf-8", "replace")) for x, y, z in self.finders[1](raw, a, b)] if raw.find(b"=", a, b) > 0 else []
+            elif k == _COMMENT:
+                text[i] = raw[a + 4 : b - 3 if raw.endswith(b"-->", a + 4, b) else b].decode("utf-8", "replace")
+            elif k == _PI:
+                m = re.match(rb"(?s)([^?>\s]*)\s*(.*?)(?:\?>)?\Z", raw[a + 2 : b])
+                name[i], text[i] = m[1].decode("utf-8", "replace"), m[2].decode("utf-8", "replace")
+        run = np.cumsum(length)
+        opened, shut = t.kind == _OPEN, close >= 0
+        place = np.arange(1, n + 1) * SLOT
+
+        def end(own: np.ndarray, last: int) -> np.ndarray:
+            return np.where(shut, own[close], np.where(opened, last, own)) if n else own
+
+        kept = np.isin(t.kind, (_TEXT, _COMMENT, _CDATA, _PI, _SELF, _OPEN))
+        for i in np.flatnonzero(kept):
+            k = kinds[i]
+            if (k == _PI and name[i] == "xml") or (k in (_TEXT, _CDATA) and not text[i]) or (self.names is not None and k >= _SELF and name[i] not in self.names):
+                kept[i] = False
+        at = np.flatnonzero(kept)
+        pick = at.tolist()
+        last_c, last_b = (int(c1[-1]), int(t.end[-1])) if n else (0, 0)
+        cols = {
+            "node_id": place[at],
+            "parent_id": parent[at] * SLOT,
+            "depth": t.depth[at],
+            "close_id": np.where(shut, (close + 1) * SLOT, np.where(opened, (t.count + 1) * SLOT, place + SLOT - 1))[at],
+            "t0": run[:-1][at],
+            "t1": end(run[1:], int(run[-1]))[at],
+            "c0": c0[at],
+            "c1": end(c1, last_c)[at],
+            "byte_start": t.start[at],
+            "byte_end": end(t.end, last_b)[at],
+        }
+        lists = {"kind": [_NODE_KINDS[kinds[i]] for i in pick], "name": [name[i] for i in pick], "attrs": [attrs[i] for i in pick], "text": [text[i] for i in pick], "is_cdata": [kinds[i] == _CDATA for i in pick]}
+        one = lambda x: np.array([x], np.int64)
+        root = {"node_id": one(0), "parent_id": one(-1), "depth": one(-1), "close_id": one(1 << 62), "t0": one(0), "t1": run[-1:], "c0": one(0), "c1": one(last_c), "byte_start": one(0), "byte_end": one(last_b)}
+        # Each element's attributes follow it as nodes.
+        own = [(j, i, x, y) for j, p in enumerate(lists["attrs"]) if p for i, (x, y, _) in enumerate(p) if x != "xmlns" and not x.startswith("xmlns:")]
+        if own:
+            of, number, names, values = zip(*own, strict=True)
+            j = np.array(of)
+            ids = cols["node_id"][j] + 1 + np.array(number)
+            more = {c: x[j] for c, x in cols.items()} | {"node_id": ids, "parent_id": cols["node_id"][j], "depth": cols["depth"][j] + 1, "close_id": ids, "t1": cols["t0"][j]}
+            order = np.argsort(np.concatenate([cols["node_id"], ids]))
+            cols = {c: np.concatenate([x, more[c]])[order] for c, x in cols.items()}
+            k, turn = len(own), order.tolist()
+            added = {"kind": ["attribute"] * k, "name": list(names), "attrs": [None] * k, "text": list(values), "is_cdata": [False] * k}
+            lists = {c: [both[i] for i in turn] for c, x in lists.items() for both in (x + added[c],)}
+        m = len(cols["node_id"])
+        self.add(**root, kind=["root"], is_cdata=[False], doc_text=["".join(spoken)])
+        self.add(**cols, **lists)
+        self.counts.append(m + 1)
+
+    def batch(self, ids: pa.Array) -> pa.RecordBatch:
+        owner = np.repeat(np.arange(len(self.counts)), self.counts)
+        arrays = [ids.take(pa.array(owner))]
+        for c, held in self.cols.items():
+            if c == "attrs":
+                sizes = np.array([0 if x is None else len(x) for x in held], np.int64)
+                flat = [y for x in held if x for y in x]
+                parts = [pa.array([y[i] for y in flat], pa.string()) for i in range(3)]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.array([*(x is None for x in held), False]))
+                arrays.append(pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, ["name", "value", "raw"])))
+            elif c == "is_cdata":
+                arrays.append(pa.array(held, pa.bool_()))
+            elif c in ("kind", "name", "text", "doc_text"):
+                arrays.append(pa.array(held, pa.string()))
+            else:
+                x = np.concatenate(held) if held else np.zeros(0, np.int64)
+                kind = pa.int32() if c == "depth" else pa.int64()
+                arrays.append(pa.array(x.astype(np.int32) if c == "depth" else x, kind, mask=x < 0 if c == "parent_id" else None))
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", *self.cols])
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """Runs of (ids, contents) of a few megabytes; a longer document is a run of its own."""
+    for batch in batches:
+        ids, contents = batch.column(0), batch.column(1).cast(pa.binary())
+        a = size = 0
+        held: list[bytes] = []
+        for i, x in enumerate(contents):
+            held.append(x.as_py() or b"")
+            size += len(held[-1])
+            if size >= _PIECE:
+                yield ids.slice(a, len(held)), held
+                a, size, held = i + 1, 0, []
+        if held:
+            yield ids.slice(a, len(held)), held
+
+
+def _slim(docs: DataFrame, id_col: str, content_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(content_col), F.lit("")).alias("content"))
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos from 1, tok, kind, depth, byte_start, byte_end, c0, c1) of each token."""
-    return _token_rows(docs).where("kind <> 'root'")
-
-
-def _token_rows(docs: DataFrame) -> DataFrame:
-    """The tokens, and an empty one of kind root at place 0 of each document."""
-    toks = docs.select("doc_id", F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0)).alias("toks"))
-    toks = toks.select("doc_id", "toks", F.array_contains("toks", "<").alias("bad"), F.size("toks").alias("n_toks"))
-    rows = toks.where("NOT bad").select("doc_id", "n_toks", F.posexplode(F.concat(F.array(F.lit("")), "toks")).alias("pos", "tok")).withColumn("pos", F.col("pos").cast("long"))
-    kind = (
-        F.when(F.col("pos") == 0, "root")
-        .when(F.substr("tok", F.lit(1), F.lit(1)) != "<", "text")
-        .when(F.startswith("tok", F.lit("<!--")), "comment")
-        .when(F.startswith("tok", F.lit("<![CDATA[")), F.when(F.endswith("tok", F.lit("]]>")), "cdata").otherwise("opener"))
-        .when(F.startswith("tok", F.lit("<!")), "doctype")
-        .when(F.startswith("tok", F.lit("<?")), "pi")
-        .when(F.startswith("tok", F.lit("</")), "close")
-        .when(F.endswith("tok", F.lit("/>")), "selfclose")
-        .otherwise("open")
-    )
-    rows = rows.withColumn("kind", kind).where("NOT (kind = 'text' AND pos = n_toks)")
-    run = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("_s", F.sum(F.expr("CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END")).over(run))
-    after = F.col("_s") - F.least(F.lit(0), F.min("_s").over(run))
-    rows = rows.withColumn("depth", (after - F.expr("CASE kind WHEN 'open' THEN 1 ELSE 0 END")).cast("int"))
-    size, octets = F.length("tok").cast("long"), F.octet_length("tok").cast("long")
-    c1, b1 = F.sum(size).over(run), F.sum(octets).over(run)
-    return rows.withColumn("c1", c1).withColumn("c0", F.col("c1") - size).withColumn("byte_end", b1).withColumn("byte_start", F.col("byte_end") - octets).drop("_s")
-
-
-def _text_sql(tok: str, kind: str) -> str:
-    return f"CASE {kind} WHEN 'text' THEN {decode_sql(tok)} WHEN 'cdata' THEN substr({tok}, 10, length({tok}) - 12) END"
-
-
-def shred(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content", *, names: tuple[str, ...] | None = None, mode: str = "PERMISSIVE") -> Corpus:
+    """(doc_id, pos from 1, tok, kind, depth, byte_start, byte_end, c0, c1) of each token; a
+    document with a '<' that nothing closes has none."""
+    slim = _slim(docs, "doc_id", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(TOKEN).finditer
+        for ids, contents in _documents(batches):
+            for i, raw in enumerate(contents):
+                t = Tokens.of(raw, find)
+                if t.bad() is not None:
+                    continue
+                n = len(t.kind)
+                toks = [raw[a:b].decode("utf-8", "replace") for a, b in zip(t.start.tolist(), t.end.tolist(), strict=True)]
+                c0, c1 = t.chars()
+                cols = [ids.take(pa.array(np.full(n, i))), pa.array(np.arange(1, n + 1)), pa.array(toks, pa.string()), pa.array([_TOKEN_KINDS[k] for k in t.kind], pa.string()), pa.array(t.depth.astype(np.int32)), *map(pa.array, (t.start, t.end, c0, c1))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "pos", "tok", "kind", "depth", "byte_start", "byte_end", "c0", "c1"])
+
+    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, pos long, tok string, kind string, depth int, byte_start long, byte_end long, c0 long, c1 long")
+
+
+def shred(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content", *, names: tuple[str, ...] | None = None, for_xpath: str | None = None, mode: str = "PERMISSIVE") -> Corpus:
     """Shred (id, content) rows; null content counts as ''. ``names`` keeps only elements
-    of these names (and all else that isn't an element) after the tree is known.
-    ``mode``: PERMISSIVE keeps bad documents in ``errors``, FAILFAST raises on one."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(content_col), F.lit("")).alias("content"))
-    rows = _token_rows(docs)
-    rows = rows.withColumn("txt", F.expr(_text_sql("tok", "kind")))
-    run = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy("doc_id")
-    length = F.length(F.coalesce("txt", F.lit(""))).cast("long")
-    rows = rows.withColumn("run", F.sum(length).over(run)).withColumn("doc_len", F.sum(length).over(whole)).withColumn("doc_end", F.max("c1").over(whole)).withColumn("doc_bytes", F.max("byte_end").over(whole))
-    # A token of depth d has as parent the last tag opened at d - 1, which leaves a marker
-    # at depth d; a tag's close is the next token of its own depth.
-    keyed = rows.withColumn("_m", F.explode(F.expr("CASE kind WHEN 'open' THEN array(false, true) ELSE array(false) END"))).withColumn("_key", F.col("depth") + F.col("_m").cast("int"))
-    level = W.partitionBy("doc_id", "_key").orderBy("pos")
-    keyed = keyed.withColumn("_parent", F.last(F.when(F.col("_m"), F.col("pos")), ignorenulls=True).over(level.rowsBetween(W.unboundedPreceding, 0)))
-    ahead = F.lead(F.struct("kind", "pos", "run", "c1", "byte_end")).over(level)
-    keyed = keyed.withColumn("_next", ahead).where("NOT _m")
-    closed = (F.col("kind") == "open") & (F.col("_next.kind") == "close")
-    opened = F.col("kind") == "open"
-
-    def end(of_close: str, leaf, last):
-        return F.when(closed, F.col(f"_next.{of_close}")).when(opened | (F.col("kind") == "root"), last).otherwise(leaf)
-
-    element = F.col("kind").isin("open", "selfclose")
-    one = f"transform(regexp_extract_all(tok, {_quoted(ATTRIBUTE)}, 0), a -> named_struct('name', substr(a, 2, instr(a, '=') - 2), 'raw', substr(a, instr(a, '=') + 2, length(a) - instr(a, '=') - 2)))"
-    both = f"transform({one}, a -> named_struct('name', a.name, 'value', {decode_sql('a.raw')}, 'raw', a.raw))"
-    name = F.when(element, F.regexp_extract("tok", r"^<([^\s/>]*)", 1)).when(F.col("kind") == "pi", F.regexp_extract("tok", r"^<\?([^?>\s]*)", 1))
-    body = F.expr(r"CASE kind WHEN 'comment' THEN regexp_replace(substr(tok, 5), '-->$', '') WHEN 'pi' THEN regexp_replace(regexp_replace(tok, r'^<\?[^?>\s]*\s*', ''), r'\?>$', '') ELSE txt END")
-    tree = keyed.where("kind NOT IN ('close', 'doctype', 'opener')").select(
-        "doc_id",
-        (F.col("pos") * SLOT).alias("node_id"),
-        F.when(element, "element").when(F.col("kind") == "cdata", "text").otherwise(F.col("kind")).alias("kind"),
-        name.alias("name"),
-        F.when(F.col("kind") != "root", F.coalesce(F.col("_parent") * SLOT, F.lit(0)).cast("long")).alias("parent_id"),
-        F.when(F.col("kind") == "root", F.lit(-1)).otherwise(F.col("depth")).alias("depth"),
-        F.when(F.col("kind") == "root", F.lit(1 << 62)).when(closed, F.col("_next.pos") * SLOT).when(opened, (F.col("n_toks").cast("long") + 1) * SLOT).otherwise(F.col("pos") * SLOT + SLOT - 1).alias("close_id"),
-        F.when(element, F.expr(both)).alias("attrs"),
-        body.alias("text"),
-        (F.col("kind") == "cdata").alias("is_cdata"),
-        (F.col("run") - length).alias("t0"),
-        end("run", F.col("run"), F.col("doc_len")).alias("t1"),
-        "c0",
-        end("c1", F.col("c1"), F.col("doc_end")).alias("c1"),
-        "byte_start",
-        end("byte_end", F.col("byte_end"), F.col("doc_bytes")).alias("byte_end"),
-    ).where("NOT (kind = 'pi' AND name = 'xml') AND NOT (kind = 'text' AND text = '')")
-    if names is not None:
-        tree = tree.where(F.col("kind").isin("root", "text", "comment", "pi") | F.col("name").isin(*names))
-    # Each element's attributes follow it as nodes; one generator makes all rows.
-    made = {"node_id": "node_id + 1 + i", "kind": "'attribute'", "name": "a.name", "parent_id": "node_id", "depth": "depth + 1", "close_id": "node_id + 1 + i", "attrs": "CAST(NULL AS array<struct<name:string,value:string,raw:string>>)", "text": "a.value", "is_cdata": "false", "t1": "t0"}
-    own = f"array(named_struct({', '.join(f"'{c}', {c}" for c in NODE)}))"
-    listed = f"transform(coalesce(attrs, array()), (a, i) -> named_struct({', '.join(f"'{c}', {made.get(c, c)}" for c in NODE)}))"
-    nodes = tree.selectExpr("doc_id", f"inline(concat({own}, filter({listed}, x -> x.name <> 'xmlns' AND NOT startswith(x.name, 'xmlns:'))))")
-    toks = docs.select("doc_id", "content", F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0)).alias("toks"))
-    good = toks.where("NOT array_contains(toks, '<')")
-    kinds = "CASE WHEN substr(t, 1, 1) <> '<' THEN 'text' WHEN startswith(t, '<![CDATA[') AND endswith(t, ']]>') THEN 'cdata' ELSE '' END"
-    used = "CASE WHEN size(toks) > 0 AND substr(element_at(toks, -1), 1, 1) <> '<' THEN slice(toks, 1, size(toks) - 1) ELSE toks END"
-    texts = good.select("doc_id", F.expr(f"array_join(transform({used}, t -> coalesce({_text_sql('t', kinds)}, '')), '')").alias("doc_text"))
-    offset = F.expr("aggregate(slice(toks, 1, array_position(toks, '<') - 1), 0L, (a, t) -> a + octet_length(t))")
-    error = F.struct(F.lit("UnclosedTag").alias("kind"), offset.cast("long").alias("offset"), F.lit("unclosed tag").alias("message"))
-    bad = toks.where("array_contains(toks, '<')").select("doc_id", error.alias("error"))
-    if mode == "FAILFAST":
-        nodes = nodes.unionByName(bad.select(F.expr("raise_error(concat('UnclosedTag at byte ', error.offset))").cast("long").alias("node_id"), "doc_id").join(nodes.limit(0).drop("node_id"), "doc_id", "left").select("doc_id", *NODE))
-    return Corpus(docs, nodes, texts, bad)
-
-
-def _quoted(pattern: str) -> str:
-    """A regular expression as a SQL string, with its backslashes and quotes escaped."""
-    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    of these names (and all else that isn't an element) after the tree is known;
+    ``for_xpath`` takes the names from an expression, and keeps all where any element may
+    matter. ``mode``: PERMISSIVE keeps bad documents in ``errors``, FAILFAST raises on the
+    first in any job that reads nodes, texts or errors."""
+    if for_xpath is not None:
+        from xqengine.plans.analyze import selectivity
+        from xqengine.plans.parser import parse_xpath
+
+        found = selectivity(parse_xpath(for_xpath)).names
+        names = None if found is None else tuple(sorted({*found, *(names or ())}))
+    if mode not in ("PERMISSIVE", "FAILFAST"):
+        raise ValueError(f"mode is PERMISSIVE or FAILFAST, not {mode!r}")
+    slim = _slim(docs, id_col, content_col)
+    few, strict = None if names is None else frozenset(names), mode == "FAILFAST"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, contents in _documents(batches):
+            rows = _Rows(few)
+            for raw in contents:
+                rows.document(raw, strict)
+            yield rows.batch(ids)
+
+    kind = dict(slim.dtypes)["doc_id"]
+    return Corpus.of(slim, slim.mapInArrow(run, f"doc_id {kind}, {NODE_SQL}, doc_text string"))

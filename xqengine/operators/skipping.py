@@ -52,6 +52,22 @@ def may_contain(name: str) -> Column:
     return (F.col("bloom_lo").bitwiseAND(lo) == lo) & (F.col("bloom_hi").bitwiseAND(hi) == hi)
 
 
+def may_contain_any(names: tuple[str, ...]) -> Column:
+    """Whether the filter admits at least one of some names; no names are never there."""
+    return reduce(lambda a, n: a | may_contain(n), names, F.lit(False))
+
+
+def filter_to_bytes() -> Column:
+    """``bloom_lo`` and ``bloom_hi`` as 16 bytes, the high byte of each first."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("bloom_lo", "bloom_hi")]))
+
+
+def filter_from_bytes(df: DataFrame, col: str) -> DataFrame:
+    """``df`` with the two words of a 16-byte filter; null for any other length."""
+    word = lambda at: F.when(F.octet_length(col) == 16, F.conv(F.hex(F.substring(col, at, 8)), 16, -10).cast("long"))
+    return df.withColumn("bloom_lo", word(1)).withColumn("bloom_hi", word(9))
+
+
 def possible(corpus: Corpus, need: Selectivity) -> Corpus:
     """The corpus of the documents that have every required name; results can't change,
     for a document without one of them has none."""

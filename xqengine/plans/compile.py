@@ -91,7 +91,7 @@ class Plan:
         if isinstance(e, Path):
             steps = fuse(e.steps)
             if e.base is not None:
-                return self.steps(self.node_set(e.base, cands), steps)
+                return self.steps(self.node_set(e.base, cands), steps, cands is None)
             if cands is None:
                 return self.from_root(steps)
             start = self._as_context(cands)
@@ -114,18 +114,23 @@ class Plan:
         first = steps[0] if steps else None
         if first is None or first.axis not in ("child", "descendant", "descendant-or-self"):
             start = nodes.where("kind = 'root'").withColumn("ck", F.lit("")).select("doc_id", "ck", *NODE)
-            return self.steps(start, steps)
+            return self.steps(start, steps, True)
         where = {"child": "parent_id = 0 AND kind <> 'attribute'", "descendant": "kind NOT IN ('root', 'attribute')", "descendant-or-self": "kind <> 'attribute'"}[first.axis]
         found = nodes.where(where).where(test_condition(first.test, first.axis)).select("doc_id", F.lit("").alias("ck"), F.lit(0).cast("long").alias("cx"), *NODE)
         found = self.predicates(found, first.preds, False).select("doc_id", "ck", *NODE)
-        return self.steps(found, steps[1:])
+        return self.steps(found, steps[1:], True)
 
-    def steps(self, start: DataFrame, steps: tuple[Step, ...]) -> DataFrame:
+    def steps(self, start: DataFrame, steps: tuple[Step, ...], one_key: bool = False) -> DataFrame:
         for s in steps:
-            start = self.step(start, s)
+            start = self.step(start, s, one_key)
         return start
 
-    def step(self, ctx: DataFrame, s: Step) -> DataFrame:
+    def step(self, ctx: DataFrame, s: Step, one_key: bool = False) -> DataFrame:
+        """One step from every context; ``one_key``: each document has a single key."""
+        if s.axis not in _SINGLE and s.axis != "parent" and not any(map(positional, s.preds)):
+            found = self.axis_set(ctx, s, one_key)
+            if found is not None:
+                return self.predicates(found, s.preds, False).select("doc_id", "ck", *NODE)
         if s.axis == "self":
             found = ctx.where(test_condition(s.test, "child")).withColumn("cx", F.col("node_id"))
         elif s.axis == "namespace":
@@ -154,6 +159,42 @@ class Plan:
         }[s.axis]
         return c.join(n, (F.col("c_doc") == F.col("doc_id")) & F.expr(on)).select("doc_id", "ck", "cx", *NODE)
 
+    def axis_set(self, ctx: DataFrame, s: Step, one_key: bool) -> DataFrame | None:
+        """The distinct nodes that an axis reaches from each key's contexts, where positions
+        don't count: (doc_id, ck, cx, NODE), or None where only a join of pairs will do.
+
+        What follows some context follows the one that ends first; what precedes some
+        context ends before the last; so of all contexts one bound is left. Descendants
+        and ancestors come from one sweep over a document's nodes and contexts in order:
+        intervals are nested or apart, so the furthest end (or the next context) decides."""
+        n = self.corpus.nodes.where(test_condition(s.test, s.axis))
+        tree, cx = n.where("kind NOT IN ('root', 'attribute')"), F.lit(0).cast("long").alias("cx")
+        own = (F.col("doc_id") == F.col("b_doc"),)
+        if s.axis in ("following", "preceding"):
+            bound = F.min("close_id") if s.axis == "following" else F.max("node_id")
+            b = ctx.groupBy(F.col("doc_id").alias("b_doc"), "ck").agg(bound.alias("b"))
+            return b.join(tree, own[0] & (F.col("node_id") > F.col("b") if s.axis == "following" else F.col("close_id") < F.col("b"))).select("doc_id", "ck", cx, *NODE)
+        if s.axis in ("following-sibling", "preceding-sibling"):
+            bound = F.min("node_id") if s.axis == "following-sibling" else F.max("node_id")
+            b = ctx.where("kind NOT IN ('attribute', 'namespace', 'root')").groupBy(F.col("doc_id").alias("b_doc"), "ck", F.col("parent_id").alias("b_parent")).agg(bound.alias("b"))
+            side = F.col("node_id") > F.col("b") if s.axis == "following-sibling" else F.col("node_id") < F.col("b")
+            return b.join(tree, own[0] & (F.col("parent_id") == F.col("b_parent")) & side).select("doc_id", "ck", cx, *NODE)
+        if not one_key:
+            return None
+        ends = ctx.select("doc_id", "node_id", F.col("close_id").alias("_end"))
+        marks = ends.select("doc_id", "node_id", "_end", F.lit(True).alias("_mark"))
+        down = s.axis.startswith("descendant")
+        rows = (tree if down else n.where("kind IN ('root', 'element')")).withColumn("_mark", F.lit(False))
+        swept = rows.unionByName(marks, allowMissingColumns=True)
+        before = W.partitionBy("doc_id").orderBy(F.asc("node_id") if down else F.desc("node_id"), F.asc("_mark")).rowsBetween(W.unboundedPreceding, -1)
+        seen = F.max("_end").over(before) if down else F.min(F.when(F.col("_mark"), F.col("node_id"))).over(before)
+        hit = F.col("_seen") > F.col("node_id") if down else F.col("_seen") < F.col("close_id")
+        found = swept.withColumn("_seen", seen).where(~F.col("_mark") & hit).select("doc_id", F.lit("").alias("ck"), cx, *NODE)
+        if s.axis.endswith("-or-self"):
+            selves = ctx.where(test_condition(s.test, s.axis)).select("doc_id", "ck", cx, *NODE)
+            found = found.unionByName(selves).dropDuplicates(["doc_id", "node_id"])
+        return found
+
     def namespaces(self, ctx: DataFrame, test: Test) -> DataFrame:
         """In-scope declarations, the nearest of each prefix; ``xml`` is always there."""
         own = ctx.where("kind = 'element'").select("doc_id", "ck", *NODE).withColumn("cx", F.col("node_id"))
