@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xqengine.llm.common import materialise
+from xqengine.llm.common import discard, materialise
 
 
 def _least(edges: DataFrame, name: str) -> DataFrame:
@@ -22,17 +22,21 @@ def _digest(edges: DataFrame) -> tuple[int, int]:
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) for every node of the (u, v) edges; a component's name is its
     least node. Each round is two joins whose rows are at most twice the edges; hubs are
-    summed before they move, and nothing is collected."""
+    summed before they move, and nothing is collected. The result is read from a written
+    table."""
     e = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc-edges")
-    before = _digest(e)
+    spark, before = edges.sparkSession, _digest(e)
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = _least(both, "cc-least").withColumn("m", F.least("m", "u"))
+        first = _least(both, "cc-least")
+        m = first.withColumn("m", F.least("m", "u"))
         large = both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialise(large, "cc-large")
+        discard(spark, first)
         m = _least(large, "cc-least")
         small = large.join(m, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s")).select("s.u", "s.v").where("u <> v").distinct()
-        e = materialise(small, "cc-small")
+        old, e = e, materialise(small, "cc-small")
+        discard(spark, old, large, m)
         after = _digest(e)
         if after == before:
             break

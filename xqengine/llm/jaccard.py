@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from xqengine.llm.common import LOWER, SPACES, map_arrow, materialise, mix, pieces, rows_of, span_hashes, spans, table, window_hashes
+from xqengine.llm.common import LOWER, SPACES, discard, map_arrow, materialise, mix, pieces, release, rows_of, span_hashes, spans, table, window_hashes
 from xqengine.llm.components import components
 
 #: Sets compared with each other in one tile; pivots that several tiles share.
@@ -85,17 +85,6 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, n long, fp long")
 
 
-def _pack(tokens: np.ndarray) -> np.ndarray:
-    """The low five bytes of each token."""
-    return tokens.astype(_TOKEN).view(np.uint8).reshape(-1, 8)[:, :5].ravel()
-
-
-def _unpack(data: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = data.reshape(-1, 5)
-    return out.view(_TOKEN).ravel()
-
-
 def _binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
 
@@ -110,41 +99,66 @@ def _raw(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], data[off[0] : off[-1]]
 
 
+def _packed(key: list[np.ndarray], cols: dict[str, np.ndarray], own: np.ndarray, per_token: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Runs of tokens by ``key`` (arrays that tell a row, sorted), one row each: for the sets
+    in it their ``cols`` and number of tokens, and the tokens' own columns, all as bytes.
+    ``own`` is each token's set."""
+    n = len(own)
+    row = np.ones(n, bool)
+    row[1:] = False
+    for k in key:
+        row[1:] |= k[1:] != k[:-1]
+    new = row.copy()
+    new[1:] |= own[1:] != own[:-1]
+    first, begin = np.flatnonzero(row), np.flatnonzero(new)
+    size = np.diff(np.append(begin, n)).astype("<u4")
+    sets = np.append(np.searchsorted(begin, first), len(begin))
+    ends = np.append(first, n)
+    arrays = [pa.array(k[first]) for k in key]
+    arrays += [_binary(sets * x.itemsize, x[own[begin]].view(np.uint8)) for x in (c.astype(c.dtype.newbyteorder("<")) for c in cols.values())]
+    arrays.append(_binary(sets * 4, size.view(np.uint8)))
+    arrays += [_binary(ends * x.itemsize, np.ascontiguousarray(x).view(np.uint8)) for x in per_token.values()]
+    return pa.RecordBatch.from_arrays(arrays, [*(f"key{i}" for i in range(len(key))), *cols, "size", *per_token])
+
+
 def _ranged(docs: DataFrame, text_col: str, words: int, k: int) -> DataFrame:
-    """(range, fp, n, tokens): each set's tokens in each of 2**k hash ranges, five bytes
-    each; equal sets of a piece once."""
+    """(range, fp, n, size, token): the tokens in each of 2**k hash ranges, a row for a piece
+    of the input's sets; equal sets of a piece once. A token costs its 8 bytes, and each set
+    16 more for every range it has tokens in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, b, off in pieces(batch, "text"):
                 key, border = shingle_sets(b, off, words)
-                fp, n = set_digests(key, border), np.diff(border)
+                fp, n = set_digests(key, border), np.diff(border).astype(np.int32)
                 first = np.zeros(len(fp), bool)
                 first[np.unique(fp, return_index=True)[1]] = True
-                first &= n > 0
                 own = np.repeat(np.arange(len(n)), n)
                 keep = first[own]
-                token, own = key[keep] >> np.uint64(24 - k), own[keep]
-                part = (token >> np.uint64(40)).astype(np.int64)
+                token, own = key[keep], own[keep]
                 if not len(token):
                     continue
-                new = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
-                ends = np.append(new, len(token))
-                yield pa.RecordBatch.from_arrays([pa.array(part[new].astype(np.int32)), pa.array(fp[own[new]]), pa.array(n[own[new]]), _binary(ends * 5, _pack(token))], ["range", "fp", "n", "tokens"])
+                part = (token >> np.uint64(64 - k)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                out = _packed([part[order]], {"fp": fp, "n": n}, own[order], {"token": token[order]})
+                yield out.rename_columns(["range", "fp", "n", "size", "token"])
+
+    return map_arrow(docs.select(F.col(text_col).alias("text")), run, "range int, fp binary, n binary, size binary, token binary")
 
-    return map_arrow(docs.select(F.col(text_col).alias("text")), run, "range int, fp long, n long, tokens binary")
 
+def _flat(t: pa.Table | pa.RecordBatch, name: str, kind: str) -> np.ndarray:
+    return _raw(t.column(name))[1].view(kind)
 
-def _shared(t: pa.Table) -> pa.Table:
-    """Of one range: each set's tokens that another set has too, with how many have them."""
-    fp, n, part = t.column("fp").to_numpy(), t.column("n").to_numpy(), t.column("range")[0].as_py()
-    off, data = _raw(t.column("tokens"))
-    rows = np.unique(fp, return_index=True)[1]
-    size = np.diff(off) // 5
+
+def _shared(t: pa.Table, k: int) -> pa.Table:
+    """Of one range: the tokens that several sets have, with how many have them, in rows by
+    the set's digest: (bucket, fp, n, size, token, df)."""
+    fp, n, size = _flat(t, "fp", "<i8"), _flat(t, "n", "<i4"), _flat(t, "size", "<u4")
+    token = _flat(t, "token", "<u8")
+    rows = np.unique(fp, return_index=True)[1]  # equal sets have equal rows in a range
     mine = np.zeros(len(fp), bool)
     mine[rows] = True
     own = np.repeat(np.arange(len(fp)), size)
-    token = _unpack(data)
     keep = mine[own]
     token, own = token[keep], own[keep]
     order = np.argsort(token, kind="stable")
@@ -155,9 +169,16 @@ def _shared(t: pa.Table) -> pa.Table:
     df[order] = np.repeat(count, count)
     some = df > 1
     token, own, df = token[some], own[some], np.minimum(df[some], 65535).astype("<u2")
-    new = np.flatnonzero(np.diff(own, prepend=-1))
-    ends = np.append(new, len(own))
-    return pa.table({"fp": pa.array(fp[own[new]]), "n": pa.array(n[own[new]]), "part": pa.array(np.full(len(new), part, np.int32)), "tokens": _binary(ends * 5, _pack(token)), "df": _binary(ends * 2, df.view(np.uint8))})
+    bucket = _bucket(fp, k)[own]
+    order = np.lexsort((own, bucket))
+    out = _packed([bucket[order]], {"fp": fp, "n": n}, own[order], {"token": token[order], "df": df[order]})
+    release()
+    return pa.Table.from_batches([out.rename_columns(["bucket", "fp", "n", "size", "token", "df"])])
+
+
+def _bucket(fp: np.ndarray, k: int) -> np.ndarray:
+    """Digests are hashes: their high bits deal sets out evenly."""
+    return (fp.view(np.uint64) >> np.uint64(64 - k)).astype(np.int32)
 
 
 def required(n: int, percent: int) -> int:
@@ -165,51 +186,45 @@ def required(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _survivors(grouped: DataFrame, percent: int) -> DataFrame:
-    """(fp, n, prefix, tokens sorted): sets with enough shared tokens; ``prefix`` are the
-    rarest, of which a linked set has one in its own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {"fp": [], "n": [], "prefix": [], "tokens": []}
-            for fp, n, parts in zip(batch.column("fp").to_numpy(), batch.column("n").to_numpy(), batch.column("parts"), strict=True):
-                parts = parts.as_py()
-                have = sum(len(p["df"]) for p in parts) // 2
-                first = have - required(int(n), percent) + 1
-                if first <= 0:
-                    continue
-                token = np.concatenate([_unpack(np.frombuffer(p["tokens"], np.uint8)) | np.uint64(p["part"] << 40) for p in parts])
-                df = np.concatenate([np.frombuffer(p["df"], "<u2") for p in parts])
-                rare = token[np.lexsort((token, df))[:first]]
-                for name, x in (("fp", fp), ("n", n), ("prefix", np.sort(rare).tobytes()), ("tokens", np.sort(token).tobytes())):
-                    out[name].append(x)
-            if out["fp"]:
-                yield pa.RecordBatch.from_arrays([pa.array(out["fp"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["prefix"], pa.binary()), pa.array(out["tokens"], pa.binary())], list(out))
-
-    return map_arrow(grouped, run, "fp long, n long, prefix binary, tokens binary")
-
-
-def _prefix_rows(sets: DataFrame) -> DataFrame:
-    """(range, fp, tokens): the prefixes, dealt out by hash range again."""
+def _survivors(t: pa.Table, percent: int) -> pa.Table:
+    """Of one bucket: (fp, n, prefix, tokens sorted) of sets with enough shared tokens;
+    ``prefix`` are the rarest, of which a linked set has one in its own."""
+    size = _flat(t, "size", "<u4")
+    fp, n = np.repeat(_flat(t, "fp", "<i8"), size), np.repeat(_flat(t, "n", "<i4"), size)
+    token, df = _flat(t, "token", "<u8"), _flat(t, "df", "<u2")
+    order = np.lexsort((token, df, fp))
+    fp, n, token = fp[order], n[order], token[order]
+    begin = np.flatnonzero(np.diff(fp, prepend=~fp[:1])) if len(fp) else np.zeros(0, np.int64)
+    ends = np.append(begin, len(fp))
+    out: dict[str, list] = {"fp": [], "n": [], "prefix": [], "tokens": []}
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        first = b - a - required(int(n[a]), percent) + 1
+        if first > 0:
+            for name, x in (("fp", fp[a]), ("n", n[a]), ("prefix", np.sort(token[a : a + first]).tobytes()), ("tokens", np.sort(token[a:b]).tobytes())):
+                out[name].append(x)
+    release()
+    return pa.table([pa.array(out["fp"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["prefix"], pa.binary()), pa.array(out["tokens"], pa.binary())], list(out))
+
+
+def _prefix_rows(sets: DataFrame, k: int) -> DataFrame:
+    """(range, fp, size, token): the prefixes, dealt out by hash range again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             off, data = _raw(batch.column("prefix"))
-            token = data.view(_TOKEN)
+            token = data.view("<u8")
             own = np.repeat(np.arange(batch.num_rows), np.diff(off) // 8)
-            part = (token >> np.uint64(40)).astype(np.int64)
-            new = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
-            if len(new):
-                yield pa.RecordBatch.from_arrays([pa.array(part[new].astype(np.int32)), batch.column("fp").take(pa.array(own[new])), _binary(np.append(new, len(token)) * 5, _pack(token))], ["range", "fp", "tokens"])
+            part = (token >> np.uint64(64 - k)).astype(np.int32)
+            order = np.lexsort((own, part))
+            out = _packed([part[order]], {"fp": batch.column("fp").to_numpy()}, own[order], {"token": token[order]})
+            yield out.rename_columns(["range", "fp", "size", "token"])
 
-    return map_arrow(sets.select("fp", "prefix"), run, "range int, fp long, tokens binary")
+    return map_arrow(sets.select("fp", "prefix"), run, "range int, fp binary, size binary, token binary")
 
 
 def _ties(t: pa.Table) -> pa.Table:
     """Of one range: (set, least set) for each token that several prefixes have."""
-    fp = t.column("fp").to_numpy()
-    off, data = _raw(t.column("tokens"))
-    token, own = _unpack(data), np.repeat(fp, np.diff(off) // 5)
+    token, own = _flat(t, "token", "<u8"), np.repeat(_flat(t, "fp", "<i8"), _flat(t, "size", "<u4"))
     order = np.lexsort((own, token))
     token, own = token[order], own[order]
     start = np.diff(token, prepend=~token[:1]) != 0
@@ -341,16 +356,17 @@ def _classes(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``docs``."""
+    spark = docs.sparkSession
     slim = materialise(sets_of(docs, id_col, text_col, words), "jaccard-sets")
     size = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("b")).first()["b"] or 0
-    k = min(22, max(5, int(np.ceil(np.log2(max(1, size / RANGE_BYTES))))))
-    ranged = _ranged(docs, text_col, words, k)
-    shared = ranged.groupBy("range").applyInArrow(_shared, "fp long, n long, part int, tokens binary, df binary")
-    grouped = shared.groupBy("fp", "n").agg(F.collect_list(F.struct("part", "tokens", "df")).alias("parts"))
-    sets = materialise(_survivors(grouped, percent), "jaccard-survivors")
-    ties = _prefix_rows(sets).groupBy("range").applyInArrow(_ties, "u long, v long")
-    groups = materialise(components(ties), "jaccard-candidates")
+    k = max(5, int(np.ceil(np.log2(max(1, size / RANGE_BYTES)))))  # only how work is dealt out
+    shared = _ranged(docs, text_col, words, k).groupBy("range").applyInArrow(lambda t: _shared(t, k), "bucket int, fp binary, n binary, size binary, token binary, df binary")
+    sets = shared.groupBy("bucket").applyInArrow(lambda t: _survivors(t, percent), "fp long, n long, prefix binary, tokens binary")
+    sets = materialise(sets, "jaccard-survivors")
+    ties = _prefix_rows(sets, k).groupBy("range").applyInArrow(_ties, "u long, v long")
+    groups = components(ties)
     classes = _classes(sets, groups, percent).select(F.col("node").alias("fp"), "component")
+    discard(spark, sets)
     # From sets to documents: equal sets share their digest.
     by_set = slim.where("n > 0").groupBy("fp").agg(F.min("id").alias("least"))
     named = by_set.join(classes, "fp", "left").withColumn("component", F.coalesce("component", "fp"))

@@ -34,7 +34,7 @@ from xqengine.llm.tokens import encoder, forget
 
 MAGIC = b"XQR1"
 LANES = 2048
-CHECKPOINT_STEPS = 64
+CHECKPOINT_STEPS = 32
 BLOCK_TOKENS = 1 << 19
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sHHIIII")
