@@ -13,9 +13,10 @@ from xqengine.operators.shred import NODE, Corpus, shred
 from xqengine.plans.analyze import Selectivity, selectivity
 from xqengine.plans.ast import Expr, type_of
 from xqengine.plans.compile import Plan
+from xqengine.plans.interpret import per_document, register_functions
 from xqengine.plans.parser import XPathError, parse_xpath
 
-__all__ = ["CompiledXPath", "Corpus", "XPathError", "compile_xpath", "count_matches", "eval_expr", "eval_standalone", "eval_text", "eval_text_batch", "evaluate_from", "shred"]
+__all__ = ["CompiledXPath", "Corpus", "XPathError", "compile_xpath", "count_matches", "eval_expr", "eval_standalone", "eval_text", "eval_text_batch", "evaluate_from", "per_document", "register_functions", "shred"]
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,8 @@ class CompiledXPath:
         kids = parents.join(runs, (F.col("p_doc") == F.col("doc_id")) & (F.col("p_id") == F.col("parent_id")))
         out = own.unionByName(kids.select("doc_id", F.col("p_id").alias("node_id"), F.col("node_id").alias("text_id"), "kind", "text", "c0", "c1"))
         if raw:
-            out = out.join(corpus.docs, "doc_id").withColumn("text", F.when(F.col("kind") == "text", F.substr("content", (F.col("c0") + 1).cast("int"), (F.col("c1") - F.col("c0")).cast("int"))).otherwise(F.col("text")))
+            own_docs = corpus.docs.join(out.select("doc_id").distinct(), "doc_id", "left_semi")
+            out = out.join(own_docs, "doc_id").withColumn("text", F.when(F.col("kind") == "text", F.substr("content", (F.col("c0") + 1).cast("int"), (F.col("c1") - F.col("c0")).cast("int"))).otherwise(F.col("text")))
         return out.select("doc_id", "node_id", "text_id", "text")
 
     def evaluate(self, corpus: Corpus) -> DataFrame:

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from xqengine import api
 from xqengine.operators import extract, skipping
 from xqengine.operators.shred import Corpus, shred
+from xqengine.queries_more import register
 
+#: The corpora of the folder used last; they are kept in memory and disk until another is used.
 _corpora: dict[tuple, Corpus] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,6 +63,10 @@ _MAKERS = {"orders": order_documents, "regions": region_documents, "conversation
 def corpus(spark: SparkSession, sf_dir: str, name: str) -> Corpus:
     """Shredded once and kept for all queries of a session."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
+    for old in [k for k in _corpora if k[:2] != key[:2]]:
+        kept = _corpora.pop(old)
+        if old[0] == key[0]:
+            kept.unpersist()
     if key not in _corpora:
         _corpora[key] = shred(_MAKERS[name](spark, sf_dir)).persist()
     return _corpora[key]
@@ -90,21 +96,15 @@ _num = "CAST({} AS DOUBLE)".format
 
 _values("axis_child", "orders", "/order/line/@n", _L.format(_N, ""))
 _values("axis_descendant", "orders", "//qty", _L.format(_Q, ""))
-_scalar("axis_descendant_or_self", "orders", "count(/order/descendant-or-self::*)", _P.format(_num("2 + 2 * n"), ""))
 _values("axis_parent", "orders", "//qty/../@n", _L.format(_N, ""))
-_scalar("axis_ancestor", "orders", "count(//qty/ancestor::*)", _P.format(_num("CASE WHEN n > 0 THEN n + 1 ELSE 0 END"), ""))
-_scalar("axis_ancestor_or_self", "orders", "count(//qty/ancestor-or-self::node())", _P.format(_num("CASE WHEN n > 0 THEN 2 * n + 2 ELSE 0 END"), ""))
 _values("axis_following_sibling", "orders", "/order/line[1]/following-sibling::line/@n", _L.format(_N, "WHERE i > 1"))
 _values("axis_preceding_sibling", "orders", "/order/line[last()]/preceding-sibling::line[1]/@n", _L.format(_N, "WHERE i = m - 1"))
-_scalar("axis_following", "orders", "count(//cust/following::*)", _P.format(_num("2 * n"), ""))
-_scalar("axis_preceding", "orders", "count(/order/line[last()]/preceding::*)", _P.format(_num("CASE WHEN n > 0 THEN 2 * n - 1 ELSE 0 END"), ""))
 _values("axis_self", "orders", "//line/self::line/@flag", _L.format("l_returnflag", ""))
 _values("axis_attribute", "orders", "/order/@*", _P.format("CAST(o_orderkey AS VARCHAR)", "") + " UNION ALL SELECT o_orderkey, o_orderstatus FROM o")
 _values("axis_namespace", "regions", "/*/namespace::g", "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, 'urn:geo' AS value FROM region")
 _values("test_any_and_text", "orders", "/order/*/text()", _P.format("CAST(o_custkey AS VARCHAR)", ""))
 _values("test_comment", "regions", "//comment()", "SELECT CAST(n_regionkey AS BIGINT) AS doc_id, n_name AS value FROM nation")
 _values("test_processing_instruction", "regions", "//processing-instruction('sort')", "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, 'by-key' AS value FROM region")
-_scalar("test_node", "regions", "count(/*/node())", "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, CAST(2 + (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS DOUBLE) AS value FROM region")
 _values("test_prefix", "regions", "//g:*/@id", "SELECT CAST(n_regionkey AS BIGINT) AS doc_id, 'n' || n_nationkey AS value FROM nation")
 _values("test_qualified_name", "regions", "//g:nation/name", "SELECT CAST(n_regionkey AS BIGINT) AS doc_id, n_name AS value FROM nation")
 _values("predicate_position", "orders", "/order/line[2]/qty", _L.format(_Q, "WHERE i = 2"))
@@ -151,42 +151,20 @@ _register("batch_count", "pages", lambda c: api.count_matches(c, "//li"), "SELEC
 _register("batch_text", "orders", lambda c: api.eval_text(c, "//qty").select("doc_id", F.array_join("texts", ",").alias("texts")), _O + "SELECT o_orderkey AS doc_id, coalesce((SELECT string_agg(CAST(l_quantity AS VARCHAR), ',' ORDER BY i) FROM l WHERE l.l_orderkey = o.o_orderkey), '') AS texts FROM o")
 _register("batch_text_lazy", "orders", lambda c: api.eval_text(c, "//line[@flag='R']/qty", lazy=True).select("doc_id", F.array_join("texts", ",").alias("texts")), _O + "SELECT o_orderkey AS doc_id, coalesce((SELECT string_agg(CAST(l_quantity AS VARCHAR), ',' ORDER BY i) FROM l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'R'), '') AS texts FROM o")
 _register("display", "regions", lambda c: api.compile_xpath("//name").display(c), "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, coalesce((SELECT string_agg(n_name, chr(10) ORDER BY n_nationkey) FROM nation WHERE n_regionkey = r_regionkey), '') AS display FROM region")
-_register("from_context", "orders", lambda c: api.evaluate_from(c, api.compile_xpath("//line").select(c), "qty/text()").groupBy("doc_id").agg(F.count("*").alias("n")), _O + "SELECT o_orderkey AS doc_id, n FROM o WHERE n > 0")
 _register("extract_raw_xml", "orders", lambda c: extract.raw_xml(c, api.compile_xpath("/order/line[1]").select(c)).select("doc_id", "raw_xml"), _O + "SELECT l_orderkey AS doc_id, '<line n=\"' || l_linenumber || '\" flag=\"' || l_returnflag || '\"><qty>' || l_quantity || '</qty></line>' AS raw_xml FROM l WHERE i = 1")
 _register("extract_raw_tag", "orders", lambda c: extract.raw_tag(c, api.compile_xpath("//line").select(c)).select("doc_id", "raw_tag"), _O + "SELECT l_orderkey AS doc_id, '<line n=\"' || l_linenumber || '\" flag=\"' || l_returnflag || '\">' AS raw_tag FROM l")
 _register("extract_canonical", "orders", lambda c: extract.canonical(c, api.compile_xpath("/order/line[1]").select(c)).select("doc_id", "canonical"), _O + "SELECT l_orderkey AS doc_id, '<line flag=\"' || l_returnflag || '\" n=\"' || l_linenumber || '\"><qty>' || l_quantity || '</qty></line>' AS canonical FROM l WHERE i = 1")
 _register("extract_direct_text", "regions", lambda c: extract.direct_text(c, extract.tags_by_name(c, "g:nation")).select("doc_id", F.array_join("texts", "").alias("texts"), "first_text"), "SELECT CAST(n_regionkey AS BIGINT) AS doc_id, 'tail' || n_nationkey AS texts, 'tail' || n_nationkey AS first_text FROM nation")
 _register("extract_tail_text", "regions", lambda c: extract.tail_text(c).select("doc_id", "tail"), "SELECT CAST(n_regionkey AS BIGINT) AS doc_id, 'tail' || n_nationkey AS tail FROM nation")
-_register("extract_itertext", "regions", lambda c: extract.itertext(c, extract.tags_by_name(c, "region")).groupBy("doc_id").agg(F.count("*").alias("n")), "SELECT CAST(n_regionkey AS BIGINT) AS doc_id, 2 * count(*) AS n FROM nation GROUP BY 1")
 _register("index_child_positions", "orders", lambda c: extract.child_positions(c).where("parent_id > 0").groupBy("doc_id").agg(F.max("child_position").alias("most"), F.count("*").alias("n")), _O + "SELECT o_orderkey AS doc_id, CAST(n AS INTEGER) AS most, 2 * n + 1 AS n FROM o")
-_register("index_post_order", "orders", lambda c: extract.post_order(c).groupBy("doc_id").agg(F.max("post_order").alias("most")), _O + "SELECT o_orderkey AS doc_id, CAST(2 * n + 1 AS INTEGER) AS most FROM o")
 _register("index_counts", "orders", lambda c: extract.counts(c), _O + "SELECT o_orderkey AS doc_id, 2 * n + 2 AS n_elements, n + 1 AS n_texts, 0 AS n_comments, 0 AS n_pis, 2 * n + 2 AS n_attributes, CASE WHEN n > 0 THEN 2 ELSE 1 END AS max_depth FROM o")
 _register("index_attributes", "regions", lambda c: extract.tags_by_name(c, "region").select("doc_id", F.array_join(extract.attribute_names(), ",").alias("names"), extract.attribute("name").alias("value"), F.array_join(F.transform(extract.namespace_decls(), lambda x: x["prefix"]), ",").alias("prefixes")), "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, 'xml:lang,name' AS names, r_name AS value, 'g' AS prefixes FROM region")
 _register("index_string_values", "orders", lambda c: extract.string_value(c, extract.tags_by_name(c, "line")).select("doc_id", "string_value"), _L.format(_Q, "").replace(" AS value", " AS string_value"))
-_register("index_descendants_of", "orders", lambda c: extract.descendants_of(c, extract.tags_by_name(c, "order"), ("qty", "cust")).groupBy("doc_id").agg(F.count("*").alias("n")), _O + "SELECT o_orderkey AS doc_id, n + 1 AS n FROM o")
 _register("skipping_stats", "orders", lambda c: skipping.doc_stats(c).select("doc_id", F.array_join("tag_names", ",").alias("tag_names"), "n_elements", skipping.may_contain("cust").alias("may_have_cust")), _O + "SELECT o_orderkey AS doc_id, CASE WHEN n > 0 THEN 'cust,line,order,qty' ELSE 'cust,order' END AS tag_names, 2 * n + 2 AS n_elements, true AS may_have_cust FROM o")
 QUERIES["skipping_prescan"] = lambda spark, sf_dir: api.count_matches(shred(skipping.prescan(page_documents(spark, sf_dir), api.compile_xpath("//article//b").selectivity().required)), "//article//b")
 ORACLE_SQL["skipping_prescan"] = "SELECT page_id AS doc_id, CAST(len(regexp_extract_all(substr(html, instr(html, '<article')), '<b>')) AS BIGINT) AS n FROM pages WHERE html LIKE '%<article%' AND html LIKE '%<b%'"
 
 
-def _bad_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each third region's document ends in a tag that nothing closes."""
-    r = _read(spark, sf_dir, "region")
-    end = F.when(F.col("r_regionkey") % 3 == 0, "<open").otherwise("</r>")
-    return r.select(F.col("r_regionkey").cast("long").alias("doc_id"), F.concat(F.lit("<r>"), "r_name", end).alias("content"))
-
-
-def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Through the store: shredded, written, and read for the same contents."""
-    import tempfile
-    import uuid
-
-    from xqengine.sources.store import load_or_shred
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="xqengine-")
-    return api.count_matches(load_or_shred(spark, f"{base}/store-{uuid.uuid4().hex}", region_documents(spark, sf_dir)), "//name")
-
-
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from xqengine.operators.shred import tokens
 
@@ -198,12 +176,8 @@ def _batch(skip: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: api.eval_text_batch(page_documents(spark, sf_dir), "//h1", skip=skip, partitions=4).select("doc_id", F.size("texts").alias("n"))
 
 
-_REGION_NAMES = "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n FROM region"
 _H1 = "SELECT page_id AS doc_id, CAST(len(regexp_extract_all(html, '<h1>[^<]')) AS INTEGER) AS n FROM pages"
 for _name, _how, _sql in (
-    ("errors_unclosed_tag", lambda spark, sf_dir: shred(_bad_documents(spark, sf_dir)).errors.select("doc_id", "error.kind", "error.offset"), "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, 'UnclosedTag' AS kind, CAST(3 + strlen(r_name) AS BIGINT) AS \"offset\" FROM region WHERE r_regionkey % 3 = 0"),
-    ("errors_leave_others", lambda spark, sf_dir: api.eval_expr(shred(_bad_documents(spark, sf_dir)), "string(/r)"), "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, r_name AS value FROM region WHERE r_regionkey % 3 <> 0"),
-    ("store_round_trip", _stored, _REGION_NAMES),
     ("tokens_by_kind", _tokens, "SELECT page_id AS doc_id, CAST(len(regexp_extract_all(html, '<!--')) AS BIGINT) AS comments, CAST(len(regexp_extract_all(html, '<!DOCTYPE')) AS BIGINT) AS doctypes, CAST(len(regexp_extract_all(html, '</[a-z0-9]+>')) - len(regexp_extract_all(html, '\"</p>\"')) + len(regexp_extract_all(html, '\"</p>\"')) AS BIGINT) AS closes, CAST(strlen(html) AS BIGINT) AS n_bytes FROM pages"),
     ("batch_text_skip_names", _batch("names"), _H1),
     ("batch_text_skip_filter", _batch("filter"), _H1),
@@ -212,3 +186,5 @@ for _name, _how, _sql in (
     QUERIES[_name] = _how
     ORACLE_SQL[_name] = _sql
 _register("index_child_at", "orders", lambda c: extract.child_at(c, 1).where("parent_id > 0").select("doc_id"), _O + "SELECT o_orderkey AS doc_id FROM o WHERE n > 0")
+
+register(QUERIES, ORACLE_SQL, corpus, _MAKERS, _O)

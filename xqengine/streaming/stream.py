@@ -1,5 +1,6 @@
-"""XPath over streams of documents: documents don't depend on each other, so each
-micro-batch is shredded and queried like a table, and nothing is kept between batches."""
+"""XPath over streams of documents: documents don't depend on each other, so nothing is kept
+between batches. One expression is evaluated where each document lies; several, or any
+operator over nodes, get each micro-batch shredded like a table."""
 
 from __future__ import annotations
 
@@ -10,6 +11,12 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from xqengine.api import compile_xpath
 from xqengine.operators.shred import shred
+from xqengine.plans.interpret import per_document
+
+
+def stream_values(docs: DataFrame, xpath: str, *, mode: str = "PERMISSIVE") -> DataFrame:
+    """A streaming frame of an expression's rows; see ``per_document``."""
+    return per_document(docs, xpath, mode=mode)
 
 
 def stream_query(docs: DataFrame, xpath: str, sink: Callable[[DataFrame, int], None]) -> DataStreamWriter:
