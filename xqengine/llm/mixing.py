@@ -15,11 +15,13 @@ show in which bucket a leaf's prefix ends, and only that bucket's rows are order
 Shares are whole numbers of tokens: floor(weight * rest / weights), so a budget may be
 missed by less than one token for each child. Defined results: rows without a word (null,
 empty) are never taken; null levels are nodes of their own; rows that repeat an id are
-taken or left together; an empty table gives no rows; other columns stay as they are.
+taken or left together in each leaf; a null id counts as ''; an empty table gives no rows;
+other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,45 +81,50 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[Mapping[
     return leaves.alias("n").join(above.alias("p"), _same("n", "p", levels)).select(*[F.col(f"n.{k}") for k in levels], "n.tokens", "n.n_docs", "p.granted")
 
 
-def mix(docs: DataFrame, *, levels: Sequence[str], weights: Sequence[Mapping[str, int]], budget: int | None = None, max_epochs: int = 2, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
-    """The rows of ``docs`` that are taken, once for each epoch, with ``n_tokens`` and
-    ``epoch`` (from 1). ``budget``: tokens to take; by default as many as there are."""
+def mix(docs: DataFrame, *, levels: Sequence[str], weights: Sequence[Mapping[str, int]], budget: int | None = None, max_epochs: int = 2, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, tokens_out: str = "n_tokens", epoch_out: str = "epoch") -> DataFrame:
+    """The rows of ``docs`` that are taken, once for each epoch, with ``tokens_out`` and
+    ``epoch_out`` (from 1); columns of these names are replaced. ``budget``: tokens to take;
+    by default as many as there are."""
+    tag = uuid.uuid4().hex[:12]
+    n, whole, rest, buckets, h, b, end, before, cut, copies = (f"__{x}_{tag}" for x in ("n", "whole", "rest", "buckets", "h", "b", "end", "before", "cut", "copies"))
     count = (F.regexp_count(F.col(text_col), F.lit(WORDS)) if tokens is None else tokens).cast("long")
-    counted = docs.withColumn("__n", count).where("__n > 0")
+    counted = docs.withColumn(n, count).where(F.col(n) > 0)
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    slim = materialise(counted.select(ident.alias("id"), *levels, "__n"), "mix-counts")
-    leaves = slim.groupBy(*levels).agg(F.sum("__n").alias("tokens"), F.count("*").alias("n_docs"))
+    slim = materialise(counted.select(*levels, ident.alias(h), n), "mix-counts")
+    leaves = slim.groupBy(*levels).agg(F.sum(n).alias("tokens"), F.count("*").alias("n_docs"))
     plan = budgets(materialise(leaves, "mix-leaves"), levels, weights, max_epochs, budget)
-    plan = plan.withColumn("whole", F.expr("granted div tokens")).withColumn("rest", F.expr("granted % tokens"))
-    plan = plan.withColumn("buckets", F.ceil(F.col("n_docs") / BUCKET_ROWS))
-    plan = materialise(plan.drop("granted"), "mix-plan")
+    plan = plan.withColumn(whole, F.expr("granted div tokens")).withColumn(rest, F.expr("granted % tokens"))
+    plan = materialise(plan.select(*levels, whole, rest, F.ceil(F.col("n_docs") / BUCKET_ROWS).alias(buckets)), "mix-plan")
     small_plan = _bounded(plan)
 
-    def placed(rows: DataFrame, id_name: str) -> DataFrame:
+    def placed(rows: DataFrame, ident: Column) -> DataFrame:
         """Rows with their leaf's plan, their hash in its last epoch, and their bucket."""
-        out = rows.alias("n").join(small_plan.alias("p"), _same("n", "p", levels)).select("n.*", *[F.col(f"p.{c}").alias(f"__{c}") for c in ("whole", "rest", "buckets")])
-        out = out.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), (F.col("__whole") + 1).cast("string"), F.lit(":"), F.coalesce(F.col(id_name).cast("string"), F.lit("")))))
-        return out.withColumn("__b", F.expr("shiftright(conv(substring(__h, 1, 8), 16, 10) * __buckets, 32)"))
-
-    where = placed(slim, "id")
-    sums = where.groupBy(*levels, "__b").agg(F.sum("__n").alias("n"), F.first("__rest").alias("rest"))
-    run = sums.withColumn("upto", F.sum("n").over(W.partitionBy(*levels).orderBy("__b")))
-    ends = run.where("upto > rest").groupBy(*levels).agg(F.min(F.struct("__b", (F.col("upto") - F.col("n")).alias("before"))).alias("e"))
-    ends = materialise(ends.select(*levels, F.col("e.__b").alias("end"), F.col("e.before").alias("before")), "mix-ends")
-    small_ends = _bounded(ends)
-    last = where.alias("n").join(small_ends.alias("p"), _same("n", "p", levels) & (F.col("n.__b") == F.col("p.end"))).select("n.*", "p.before")
-    cum = F.sum("__n").over(W.partitionBy(*levels).orderBy("__h"))  # equal hashes go together
-    last = last.withColumn("cum", F.col("before") + cum).where("cum <= __rest")
-    taken = materialise(last.select("id").distinct(), "mix-prefix-ends")
-    out = placed(counted, id_col).alias("n").join(small_ends.alias("p"), _same("n", "p", levels), "left").select("n.*", "p.end")
-    out = out.withColumn("__id", ident).join(_bounded(taken).withColumn("__in", F.lit(True)).withColumnRenamed("id", "__id"), "__id", "left")
-    inside = F.when(F.col("end").isNull() | (F.col("__b") < F.col("end")), 1).when((F.col("__b") == F.col("end")) & F.col("__in"), 1).otherwise(0)
-    out = out.withColumn("__copies", F.col("__whole") + inside).where("__copies > 0")
-    return out.withColumn("epoch", F.explode(F.expr("sequence(1L, __copies)"))).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__n").alias("n_tokens"), "epoch")
-
-
-def with_domain(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("domain", F.expr(DOMAIN_SQL))
+        out = rows.alias("n").join(small_plan.alias("p"), _same("n", "p", levels)).select("n.*", *[F.col(f"p.{c}") for c in (whole, rest, buckets)])
+        out = out.withColumn(h, F.md5(F.concat(F.lit(f"{seed}:"), (F.col(whole) + 1).cast("string"), F.lit(":"), ident)))
+        return out.withColumn(b, F.expr(f"shiftright(conv(substring({h}, 1, 8), 16, 10) * {buckets}, 32)"))
+
+    where = placed(slim, F.col(h))
+    sums = where.groupBy(*levels, b).agg(F.sum(n).alias(n), F.first(rest).alias(rest))
+    run = sums.withColumn("upto", F.sum(n).over(W.partitionBy(*levels).orderBy(b)))
+    ends = run.where(F.col("upto") > F.col(rest)).groupBy(*levels).agg(F.min(F.struct(F.col(b).alias("b"), (F.col("upto") - F.col(n)).alias("before"))).alias("e"))
+    ends = materialise(ends.select(*levels, F.col("e.b").alias(end), F.col("e.before").alias(before)), "mix-ends")
+    # In the bucket where a prefix ends, equal ids are one entry, however many rows they
+    # have; the last hash that is in tells for every row whether it is.
+    last = where.alias("n").join(_bounded(ends).alias("p"), _same("n", "p", levels) & (F.col(f"n.{b}") == F.col(f"p.{end}"))).select("n.*", F.col(f"p.{before}"))
+    last = last.groupBy(*levels, h).agg(F.sum(n).alias(n), F.first(rest).alias(rest), F.first(before).alias(before))
+    upto = F.col(before) + F.sum(n).over(W.partitionBy(*levels).orderBy(h))
+    cuts = last.withColumn("upto", upto).where(F.col("upto") <= F.col(rest)).groupBy(*levels).agg(F.max(h).alias(cut))
+    cuts = materialise(ends.alias("n").join(cuts.alias("p"), _same("n", "p", levels), "left").select("n.*", F.col(f"p.{cut}")), "mix-cuts")
+    out = placed(counted, ident).alias("n").join(_bounded(cuts).alias("p"), _same("n", "p", levels), "left").select("n.*", F.col(f"p.{end}"), F.col(f"p.{cut}"))
+    inside = F.when(F.col(end).isNull() | (F.col(b) < F.col(end)), 1).when((F.col(b) == F.col(end)) & (F.col(h) <= F.col(cut)), 1).otherwise(0)
+    out = out.withColumn(copies, F.col(whole) + inside).where(F.col(copies) > 0)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (tokens_out, epoch_out)]
+    return out.withColumn(buckets, F.explode(F.expr(f"sequence(1L, {copies})"))).select(*kept, F.col(n).alias(tokens_out), F.col(buckets).alias(epoch_out))
+
+
+def with_domain(docs: DataFrame, name: str = "domain") -> DataFrame:
+    """``docs`` with its rows' domains, in place of a column of that name."""
+    return docs.withColumn(name, F.expr(DOMAIN_SQL))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

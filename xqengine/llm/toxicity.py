@@ -1,6 +1,6 @@
 """Toxicity by a linear classifier over character n-grams, scaled by naive Bayes ratios.
 
-Features are byte n-grams (lower case, white space as one kind of byte), hashed to
+Features are n-grams of code points (lower case, white space as one kind), hashed to
 2**HASH_BITS; a text has a feature or not, however often. From labelled rows, each feature
 gets its naive Bayes log-count ratio r; the features whose ratio is surest are kept, and a
 logistic regression is fitted to the scaled features x * r.
@@ -26,12 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xqengine.llm.common import LOWER, SPACES, held_out, map_arrow, pieces, table
+from xqengine.llm.common import held_out, map_arrow, pieces, table
 
 ORDERS = (4, 5, 6)
 HASH_BITS = 20
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_FOLD = np.where(SPACES, 32, LOWER).astype(np.uint8)
+#: Characters that are looked at together.
+SEGMENT = 1 << 17
+_MULT, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _fold() -> np.ndarray:
+    """Each character's lower case, where that is one character; white space is a space."""
+    low = [c if 0xD800 <= c < 0xE000 or len(x := chr(c).lower()) > 1 else 32 if x.isspace() else ord(x) for c in range(1 << 16)]
+    return np.array([*low, 0], np.uint32)  # the last stands for all others
+
+
+_FOLD = _fold()
 
 
 @dataclass(frozen=True)
@@ -43,36 +53,43 @@ class Model:
     bias: float
 
 
-def feature_hashes(b: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order, (start positions whose n-gram lies in one row, hashes of all
-    positions)."""
-    x = _FOLD[b].astype(np.uint64)
-    n = len(x)
-    packed = x.copy()
-    ends = np.repeat(off[1:], np.diff(off))
-    have = 1
-    for order in ORDERS:
-        if n < order:
-            return
-        while have < order:
-            packed[: n - have] |= x[have:] << np.uint64(8 * have)
-            have += 1
-        m = n - order + 1
-        h = ((packed[:m] + np.uint64(order)) * _MULT >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-        yield ends[:m] - np.arange(m) >= order, h
+def code_points(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of rows of UTF-8 bytes and the rows' borders among them; bytes that are
+    no UTF-8 count as U+FFFD."""
+    try:
+        text = b.tobytes().decode()
+    except UnicodeDecodeError:
+        rows = [b[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(off[:-1], off[1:], strict=True)]
+        return np.frombuffer("".join(rows).encode("utf-32-le"), "<u4"), np.cumsum([0, *map(len, rows)])
+    lead = np.zeros(len(b) + 1, np.int64)
+    np.cumsum((b & 0xC0) != 0x80, out=lead[1:])
+    return np.frombuffer(text.encode("utf-32-le"), "<u4"), lead[off]
 
 
 def hits(b: np.ndarray, off: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, feature) pairs among the features flagged in ``wanted``."""
-    rows, feats = [], []
-    for fits, h in feature_hashes(b, off):
-        at = np.flatnonzero(wanted[h] & fits)
-        rows.append(np.searchsorted(off, at, "right") - 1)
-        feats.append(h[at])
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both = np.unique(np.concatenate(rows) << HASH_BITS | np.concatenate(feats))
-    return both >> HASH_BITS, both & ((1 << HASH_BITS) - 1)
+    """Distinct (row, feature) pairs among the features flagged in ``wanted``, a segment at a
+    time, so that a long text takes no more room than its distinct features."""
+    chars, off = code_points(b, off)
+    found = np.zeros(0, np.int64)
+    most = max(ORDERS)
+    for a in range(0, len(chars), SEGMENT):
+        part = chars[a : a + SEGMENT + most - 1]
+        x = _FOLD[np.minimum(part, len(_FOLD) - 1)].astype(np.uint64)
+        np.copyto(x, part, where=part >= len(_FOLD) - 1)
+        row = np.searchsorted(off, np.arange(a, a + len(x)), "right") - 1
+        left = off[row + 1] - np.arange(a, a + len(x))  # characters to the row's end
+        g, new = x.copy(), []
+        for have in range(1, most + 1):
+            if have > 1:
+                g = g[:-1] * _MIX + x[have - 1 :]
+            if have in ORDERS:
+                h = ((g + np.uint64(have)) * _MULT >> np.uint64(64 - HASH_BITS)).astype(np.int64)[:SEGMENT]
+                at = np.flatnonzero(wanted[h] & (left[: len(h)] >= have))
+                new.append(row[at] << HASH_BITS | h[at])
+            if len(g) < 2:
+                break
+        found = np.unique(np.concatenate([found, *new]))
+    return found >> HASH_BITS, found & ((1 << HASH_BITS) - 1)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -95,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         rows = [0, 0]
         everything = np.ones(1 << HASH_BITS, bool)
         for batch in batches:
-            for part, b, off in pieces(batch, "text", 1 << 20):
+            for part, b, off in pieces(batch, "text", 1 << 18):
                 y = part.column("label").to_numpy() > 0
                 r, f = hits(b, off, everything)
                 for k in (0, 1):
@@ -123,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, b, off in pieces(batch, "text", 1 << 20):
+            for part, b, off in pieces(batch, "text", 1 << 18):
                 r, f = hits(b, off, wanted)
                 cut = np.searchsorted(r, np.arange(part.num_rows + 1))
                 found = [f[cut[i] : cut[i + 1]].astype("<i4").tobytes() for i in range(part.num_rows)]
