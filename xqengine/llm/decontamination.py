@@ -11,12 +11,12 @@ token: the rarest of the window in the documents. The steps:
 2. The shingles found are counted, and each window keeps its rarest as its prefix token.
 3. Documents' tokens meet the windows' prefix tokens. Length and position bound a match:
    the window must start at or after the first word and end at or before the last.
-4. The candidates' documents are read again and the words at that place compared with the
-   window's words.
+4. The candidates' documents, and no others, are read again and the words at that place
+   compared with the window's words.
 
 The benchmark side is broadcast while it has at most ``broadcast_rows`` shingles, else it
-is shuffled. Matches of a popular passage grow with the documents that hold it, never with
-pairs of documents. Defined results: null and '' have no words; null items have no
+is shuffled; the ids of candidates are broadcast up to ``broadcast_ids``. Matches of a
+popular passage grow with the documents that hold it, never with pairs of documents. Defined results: null and '' have no words; null items have no
 windows; rows that repeat a document id are one document (its largest word count, the
 union of its hits); an empty benchmark hits nothing; other columns are ignored.
 """
@@ -61,7 +61,7 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int,
     return owners, sizes
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 5, broadcast_rows: int = 200_000, broadcast_ids: int = 1_000_000) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), a row a document."""
     owners, shingles = item_windows(benchmark, item_col, item_text_col, window, shingle)
     owners, shingles = materialise(owners, "bench-owners"), materialise(shingles, "bench-shingles")
@@ -75,7 +75,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     texts = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("ws"))
     # Entry -1 is the document's own row; after it, each position takes an entry for each
     # shingle length. One generator, whose entries must meet a token before anything is
-    # built from them: the words are never copied.
+    # built from them: the words are never copied. Entries without a shingle have a length
+    # that no token has and spread by id, should the join be a shuffle.
     if lengths:
         m = len(lengths)
         spread = texts.select("id", "ws", F.size("ws").alias("n_words"), F.expr(f"explode(sequence(-1, greatest(size(ws) * {m} - 1, -1)))").alias("i"))
@@ -83,7 +84,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         k = "CASE i % " + str(m) + " " + " ".join(f"WHEN {j} THEN {k}" for j, k in enumerate(lengths)) + " END"
         hashed = f"CASE i % {m} " + " ".join(f"WHEN {j} THEN {_hash_at(f'CAST(i div {m} AS INT)', k)}" for j, k in enumerate(lengths)) + " END"
         fits = f"i >= 0 AND i div {m} + {k} <= n_words"
-        seen = spread.select("id", "n_words", F.expr(f"CAST({pos} AS INT)").alias("pos"), F.expr(f"CASE WHEN {fits} THEN {k} END").alias("k"), F.expr(f"CASE WHEN {fits} THEN {hashed} END").alias("token"))
+        seen = spread.select("id", "n_words", F.expr(f"CAST({pos} AS INT)").alias("pos"), F.expr(f"CASE WHEN {fits} THEN {k} ELSE -1 END").alias("k"), F.expr(f"CASE WHEN {fits} THEN {hashed} ELSE xxhash64(id) END").alias("token"))
     else:
         seen = texts.select("id", F.size("ws").alias("n_words"), F.lit(-1).alias("pos"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("long").alias("token"))
     if lengths:
@@ -102,10 +103,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     cand = cand.where("at >= 0 AND at + size(win) <= n_words").select("id", "at", "window_id", "win")
     per_doc = materialise(cand.groupBy("id").agg(F.collect_set(F.struct("at", "window_id", "win")).alias("cands")), "bench-candidates")
     per_doc = per_doc.withColumnRenamed("id", "cand_id")
-    # Each candidate is one window of at most ``window`` words: their number bounds the size.
-    few = (per_doc.agg(F.sum(F.size("cands")).alias("n")).first()["n"] or 0) <= broadcast_rows // 10
-    check = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(per_doc) if few else per_doc.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("cand_id")))
-    check = check.withColumn("ws", words(F.col("text"))).select("id", F.expr("filter(cands, c -> slice(ws, c.at + 1, size(c.win)) = c.win)").alias("ok")).where("size(ok) > 0")
+    # Only the candidates' texts move: the others are left out by id before any exchange.
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if per_doc.count() <= broadcast_ids:
+        texts = texts.join(F.broadcast(per_doc.select("cand_id")), F.col("id").eqNullSafe(F.col("cand_id")), "left_semi")
+    check = texts.join(per_doc, F.col("id").eqNullSafe(F.col("cand_id")))
+    # The words as a lambda's variable: taken once a document, not once a candidate.
+    met = F.transform(F.array(words(F.col("text"))), lambda ws: F.filter("cands", lambda c: F.slice(ws, c["at"] + 1, F.size(c["win"])) == c["win"]))
+    check = check.select("id", met[0].alias("ok")).where("size(ok) > 0")
     ok = materialise(check.select("id", F.expr("inline(ok)")).select("id", "at", "window_id", F.size("win").alias("len")), "bench-matches")
     n_hit = ok.select("id", F.expr("explode(sequence(at, at + len - 1))").alias("w")).distinct().groupBy("id").agg(F.count("*").alias("n_hit"))
     items = ok.select("id", "window_id").distinct().join(side(owners), "window_id").groupBy("id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
