@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -37,6 +38,28 @@ def test_token_counts(spark, docs, rows, no_docs, tmp_path):
     assert token_counts.token_counts(no_docs, path, str(tmp_path / "none")).count() == 0
 
 
+def test_token_counts_of_a_filled_cache(spark, tmp_path, monkeypatch):
+    """Few new texts among many stored ones: only they are encoded, and no text moves."""
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cache")
+    tok = Tokenizer.from_file(path)
+    old = spark.createDataFrame([(i, f"text number {i}") for i in range(60)], "doc_id long, text string")
+    token_counts.token_counts(old, path, cache).count()
+    new = [(100, "never seen"), (101, "never seen"), (None, "nor this"), (7, "an id again")]
+    both = old.unionByName(spark.createDataFrame(new, old.schema))
+    plans, count = [], token_counts.count_misses
+
+    def noting(misses, tokenizer):
+        plans.append(misses.select("text")._jdf.queryExecution().executedPlan().toString())
+        assert sorted(r["text"] for r in misses.collect()) == ["an id again", "never seen", "nor this"]
+        return count(misses, tokenizer)
+
+    monkeypatch.setattr(token_counts, "count_misses", noting)
+    got = bag((r["doc_id"], r["n_tokens"]) for r in token_counts.token_counts(both, path, cache).collect())
+    assert got == bag((i, len(tok.encode(t, add_special_tokens=False).ids)) for i, t in both.collect())
+    assert "BroadcastHashJoin" in plans[0] and "hashpartitioning" not in plans[0]
+    assert spark.read.parquet(cache).count() == 63
+
+
 def test_token_files(spark, docs, rows, no_docs, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
@@ -150,6 +173,45 @@ def test_jaccard(docs, rows, no_docs, tile, monkeypatch):
         assert jaccard.jaccard_classes(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("tile, signed", [(1000, 8000), (5, 7)])
+def test_jaccard_of_shared_parts(spark, tile, signed, monkeypatch):
+    """Texts put together from the same sentences: candidate groups hold sets that share much
+    and link in chains or not at all."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "SIGNED_TILE", signed)
+    monkeypatch.setattr(jaccard, "PIVOTS", 1 if tile == 5 else 8)
+    rnd = np.random.default_rng(21)
+    parts = [" ".join(f"s{i}w{j}" for j in range(12)) for i in range(14)]
+    rows = [(i, " ".join(parts[k] for k in rnd.permutation(14)[: rnd.integers(2, 9)])) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bag(jaccard.jaccard_classes(df).collect()) == brute_classes(rows)
+
+
+def test_jaccard_group_of_unlike_sets(spark, monkeypatch):
+    """50,000 sets that share a shingle and don't link, but for two in different tiles: only
+    these two are compared by their shingles after the first round."""
+    n = 50_000
+    rnd = np.random.default_rng(22)
+    tokens = rnd.integers(1, 1 << 63, (n, 8), np.uint64)
+    tokens[:, 0] = 7
+    tokens[1] = tokens[0]
+    tokens[1, 7] += np.uint64(1)
+    tokens.sort(1)
+    rows = pa.table({"fp": np.arange(n), "n": np.full(n, 8), "tokens": pa.array([t.tobytes() for t in tokens], pa.binary())})
+    sets = spark.createDataFrame(rows.to_pandas()).repartition(8).cache()
+    groups = sets.select(F.col("fp").alias("node"), F.lit(0).cast("long").alias("component"))
+    met, tiles = [], jaccard._tiles
+
+    def noting(rows, percent):
+        met.append(rows.count())
+        return tiles(rows, percent)
+
+    monkeypatch.setattr(jaccard, "_tiles", noting)
+    got = {tuple(r) for r in jaccard._classes(sets, groups, 75).collect()}
+    assert got == {(0, 0), (1, 0)}
+    assert met[0] < 1.01 * n + 8 * 50 and met[1] < 20 * jaccard.TILE  # by chance some signatures are alike
+
+
 def test_substring_dedup(docs, rows, no_docs):
     found = substring_dedup.repeated_spans(docs).collect()
     text = {r[0]: r[1] for r in rows}
@@ -223,7 +285,7 @@ def test_decontamination(spark, docs, rows, no_docs, limit):
 
 
 def test_lm_scores(docs, rows, no_docs):
-    got = lm_scoring.lm_scores(docs, sample_docs=20, sample_words=200, dictionary=200).collect()
+    got = lm_scoring.lm_scores(docs, dictionary=200).collect()
     split = lambda t: (t or "").encode().lower().split()
     c = Counter()
     for i, t, *_ in rows:
@@ -239,6 +301,68 @@ def test_lm_scores(docs, rows, no_docs):
     assert lm_scoring.lm_scores(no_docs).count() == 0
 
 
+def test_toxicity_features_are_character_ngrams(monkeypatch):
+    """Against a plain reading, for letters of all widths, bad bytes and short segments."""
+    rnd = np.random.default_rng(3)
+    letters = list("abcXYZ 012\t\n\u00e9\u00c9\u0416\u0436\u4e2d\u6587\U0001f600\u0130")
+    texts = ["".join(rnd.choice(letters, rnd.integers(0, 60))) for _ in range(40)] + ["", "abc", "\u4e2d\u6587\u4e2d\u6587"]
+    fold = lambda c: " " if c.isspace() else c.lower() if len(c.lower()) == 1 else c
+    bits, mask = toxicity.HASH_BITS, (1 << 64) - 1
+    want = set()
+    for r, t in enumerate(texts):
+        cs = [ord(fold(c)) if ord(c) < 65536 else ord(c) for c in t]
+        for n in toxicity.ORDERS:
+            for i in range(len(cs) - n + 1):
+                g = cs[i]
+                for c in cs[i + 1 : i + n]:
+                    g = (g * int(toxicity._MIX) + c) & mask
+                want.add((r, ((g + n) * int(toxicity._MULT) & mask) >> (64 - bits)))
+    raw = [t.encode() for t in texts]
+    b, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    for segment in (1 << 17, 7):
+        monkeypatch.setattr(toxicity, "SEGMENT", segment)
+        rows, feats = toxicity.hits(b, off, np.ones(1 << bits, bool))
+        assert set(zip(rows.tolist(), feats.tolist(), strict=True)) == want and len(rows) == len(want)
+    odd = np.frombuffer(b"ab\xff\xfecd" + "\u00e9\u00e9".encode()[:-1], np.uint8)
+    chars, borders = toxicity.code_points(odd, np.array([0, 6, len(odd)]))
+    assert borders.tolist() == [0, 6, 8] and chars[2] == 0xFFFD
+
+
+def test_toxicity_weights_against_newton():
+    """The fitted weights are those of the regularised likelihood's minimum."""
+    rnd = np.random.default_rng(4)
+    n, k, ridge = 400, 12, 1e-2
+    x = rnd.random((n, k)) < 0.4
+    scale = rnd.normal(0, 1.5, k)
+    y = (rnd.random(n) < 1 / (1 + np.exp(-(x * scale) @ rnd.normal(0, 2, k)))).astype(float)
+    row, col = np.nonzero(x)
+    w, b = toxicity.logistic(row, col, scale, y, rounds=3000, ridge=ridge)
+    dense = np.hstack([x * scale, np.ones((n, 1))])
+    keep = np.diag([ridge] * k + [0.0])
+    theta = np.zeros(k + 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-dense @ theta))
+        theta -= np.linalg.solve(dense.T @ (dense * (p * (1 - p))[:, None]) / n + keep, dense.T @ (p - y) / n + keep @ theta)
+    assert np.allclose([*w, b], theta, atol=0.02)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """A score per row from text alone: accurate on rows it never learned from."""
+    rnd = np.random.default_rng(5)
+    word = lambda: "".join(rnd.choice(list("abcdefgh"), 5))
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        rows.append((i, " ".join([word() for _ in range(30)] + (["hateful", "\u0432\u0440\u0430\u0433\u0438"] if bad else ["friendly"])), "en", "s"))
+        labels.append((i, int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [i for i, r in got.items() if r["held_out"]]
+    assert len(held) > 50 and all(got[i]["predicted"] == dict(labels)[i] for i in held)
+    other = df.withColumn("lang", F.lit("xx")).withColumn("source", F.lit(None).cast("string"))
+    assert {r["doc_id"]: r["score"] for r in toxicity.toxicity(other, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()} == {i: r["score"] for i, r in got.items()}
+
+
 def test_mixer_is_a_distribution():
     """The probabilities of all symbols after one context sum to one."""
     code = lm_scoring.Code.of([50, 20, 9, 3, 1, 7])
@@ -254,7 +378,7 @@ def test_mixer_is_a_distribution():
 
 
 def test_context_counts_are_exact():
-    """Every (context, node) has its own count, also where shards share a frequent word."""
+    """Every (context, node) has its own count, with and without the token's own."""
     code = lm_scoring.Code.of([50, 20, 9, 3, 1, 7])
     rnd = np.random.default_rng(4)
     one, two, sym, learn = rnd.integers(0, 9, 4000), rnd.integers(0, 1 << 40, 4000) % 3000, rnd.integers(0, 6, 4000), rnd.integers(0, 2, 4000)
@@ -263,32 +387,112 @@ def test_context_counts_are_exact():
         for j in range(code.off[y], code.off[y + 1]):
             for ctx in ((a,), (a, b)):
                 want[(ctx, code.node[j], code.bit[j])] += k
-    pairs = Counter(zip(one[learn > 0], sym[learn > 0], strict=True))
-    hot = [np.array([(a, y, n) for (a, y), n in pairs.items() if a < 3], np.int64)[:, k] for k in range(3)]
-    for own in (two % 2 == 0, two % 2 == 1):  # words 3 and up aren't shared, so they lie in one shard
-        own |= one >= 3
-        shard = lm_scoring.Shard(one[own], two[own], sym[own], learn[own], code, hot)
-        for d, (at, x, _, bit) in enumerate(shard.events(False)):
-            for k, i in enumerate(at):
-                a, b, y = shard.one[i], shard.two[i], shard.sym[i]
-                node = code.node[code.off[y] + d]
-                for ctx, got in (((a,), x[1][k]), ((a, b), x[2][k])):
-                    n = [want[(ctx, node, j)] for j in (0, 1)]
-                    assert math.isclose(got, math.log((n[1] + 0.4) / (n[0] + 0.4)), abs_tol=1e-5) and bit[k] == code.bit[code.off[y] + d]
-
-
-def test_lm_scores_do_not_depend_on_shards(docs, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "averaged", lambda mixers, fresh: fresh)
-    score = lambda: sorted((r["doc_id"] or 0, r["score"]) for r in lm_scoring.lm_scores(docs, dictionary=200).collect())
-    whole = score()
-    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 500)
-    monkeypatch.setattr(lm_scoring, "HOT_TOKENS", 20)
-    for a, b in zip(whole, score(), strict=True):
-        assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-5)
-
-
-def test_lm_weights_come_from_all_training_rows(docs, rows, monkeypatch):
-    """Each bit of each training token and of each spelled word is an event."""
+    shard = lm_scoring.Shard(one, two, sym, learn, code)
+    logit = lambda n: math.log((n[1] + 0.4) / (n[0] + 0.4))
+    for d, (at, bit, full, less) in enumerate(shard.events()):
+        for k, i in enumerate(at):
+            a, b, y = shard.one[i], shard.two[i], shard.sym[i]
+            node = code.node[code.off[y] + d]
+            assert bit[k] == code.bit[code.off[y] + d]
+            for j, ctx in ((1, (a,)), (2, (a, b))):
+                n = [want[(ctx, node, x)] for x in (0, 1)]
+                assert math.isclose(full[j][k], logit(n), abs_tol=1e-5)
+                if shard.c[i]:
+                    n[bit[k]] -= 1
+                    assert math.isclose(less[j][k], logit(n), abs_tol=1e-5)
+
+
+def test_shard_scores_like_a_slow_mixer():
+    """Token by token and bit by bit, with the same weights; equal tokens score alike, and
+    words that follow their context score better than others."""
+    code = lm_scoring.Code.of([50, 20, 9, 3, 1, 7])
+    rnd = np.random.default_rng(5)
+    n = 3000
+    one, two = rnd.integers(0, 5, n), rnd.integers(0, 5, n)
+    sym = np.where(rnd.random(n) < 0.9, one, rnd.integers(0, 6, n))
+    learn = (rnd.random(n) < 0.8).astype(np.int64)
+    shard = lm_scoring.Shard(one, two, sym, learn, code)
+    got, mixers = None, []
+    real = lm_scoring.Mixer
+
+    class Noted(real):
+        def __post_init__(self):
+            super().__post_init__()
+            mixers.append(self)
+
+    lm_scoring.Mixer = Noted
+    try:
+        got = shard.scores()
+    finally:
+        lm_scoring.Mixer = real
+    (m,) = mixers
+    assert m.seen.sum() == sum(learn[i] * (code.off[y + 1] - code.off[y]) for i, y in enumerate(sym))  # all training tokens' bits
+    counts = Counter()
+    for a, b, y, k in zip(one, two, sym, learn, strict=True):
+        for j in range(code.off[y], code.off[y + 1]):
+            for ctx in ((a,), (a, b)):
+                counts[(ctx, code.node[j], code.bit[j])] += k
+    sure = lambda t: int(t > 0) + int(t > 2) + int(t > 15)
+    for i in range(0, n, 50):
+        total = 0.0
+        for j in range(code.off[sym[i]], code.off[sym[i] + 1]):
+            node, bit = code.node[j], code.bit[j]
+            pairs = [(code.zeros[node], code.ones[node])] + [tuple(counts[(ctx, node, x)] for x in (0, 1)) for ctx in ((one[i],), (one[i], two[i]))]
+            gate = sure(sum(pairs[1])) * 4 + sure(sum(pairs[2]))
+            z = sum(w * math.log((b + 0.4) / (a + 0.4)) for w, (a, b) in zip(m.w[gate], pairs, strict=False)) + m.w[gate, -1]
+            z = min(7.99, max(-7.99, z))
+            at = (z + 8) * 2
+            low = int(at)
+            refined = m.apm[gate, low] + (m.apm[gate, low + 1] - m.apm[gate, low]) * (at - low)
+            p = 0.5 / (1 + math.exp(-z)) + 0.5 * refined
+            total += math.log10(p if bit else 1 - p)
+        assert math.isclose(got[i], total, abs_tol=1e-3)
+    assert got[sym == one].mean() > got[sym != one].mean() + 0.5
+
+
+def test_shards_of_frequent_words():
+    """A token's shard is the same for equal contexts; only frequent words and pairs have
+    several."""
+    before = np.array([10, 400_000, 9_000_000, 8_000_000, 5, 0])
+    n = 20_000
+    rnd = np.random.default_rng(6)
+    uid = rnd.integers(0, 1000, n)
+    full = lambda k: np.full(n, k)
+    places = lambda one, two: len(np.unique(lm_scoring.shard_of(one, two, uid, before, 1000)))
+    assert places(full(4), rnd.integers(0, 5, n)) == 1 and places(full(1), full(4)) == 1
+    assert places(full(1), rnd.integers(0, 5, n)) > 1 and places(full(2), full(1)) == 1
+    assert places(full(2), full(3)) > 1
+
+
+def test_long_texts_in_stretches(spark, monkeypatch):
+    """Counts and the base don't depend on where a text is cut, and nothing is lost."""
+    text = " ".join(f"w{i % 97} {'  ' * (i % 3)}x{i % 7}" for i in range(3000))
+    df = spark.createDataFrame([(1, text), (2, text[:500]), (3, " " * 5000), (4, ""), (5, "y" * 9000)], "doc_id long, text string")
+    facts = lambda: sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), r["score"] < 0, r["bits_per_byte"] > 0) for r in lm_scoring.lm_scores(df).collect())
+    whole = facts()
+    monkeypatch.setattr(lm_scoring, "STRETCH", 700)
+    monkeypatch.setattr(lm_scoring, "RUN_BYTES", 1000)
+    assert facts() == whole
+    assert b" ".join(lm_scoring.stretches(text.encode())).split() == text.encode().split()
+
+
+def test_lm_scores_beat_the_base_on_held_out_texts(spark, monkeypatch):
+    """Texts with a fixed order of words: the words before tell the next."""
+    rnd = np.random.default_rng(8)
+    chain = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        k = int(rnd.integers(0, 300))
+        rows.append((i, " ".join(chain[(k + j) % 300] for j in range(60))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for tokens in (250_000, 2_000):
+        monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", tokens)
+        held = [r for r in lm_scoring.lm_scores(df).collect() if r["held_out"]]
+        assert held and sum(r["score"] for r in held) > 0.4 * sum(r["base_score"] for r in held)
+
+
+def test_lm_spelling_weights_come_from_all_training_words(docs, rows, monkeypatch):
+    """Each bit of each spelled word is an event."""
     seen, whole = {}, lm_scoring.averaged
 
     def noting(mixers, fresh):
@@ -297,11 +501,38 @@ def test_lm_weights_come_from_all_training_rows(docs, rows, monkeypatch):
         return m
 
     monkeypatch.setattr(lm_scoring, "averaged", noting)
-    lm_scoring.lm_scores(docs, sample_docs=1, sample_words=1, dictionary=200).count()
+    lm_scoring.lm_scores(docs, dictionary=200).count()
     c = Counter()
     for i, t, *_ in rows:
         if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2:
             c.update((t or "").encode().lower().split())
-    top = sorted((w for w in c if c[w] >= lm_scoring.LEAST_COUNT), key=lambda w: (-c[w], w))[:200]
-    assert seen[64] == sum(8 * (len(w) + 1) for w in c if w not in set(top))
-    assert seen[16] >= sum(c.values())
+    sizes = Counter(n for n in c.values() if n >= lm_scoring.LEAST_COUNT)
+    least = min((n for n in sizes if sum(k for m, k in sizes.items() if m >= n) <= 200), default=math.inf)
+    rare = [w for w, n in c.items() if n < least]
+    code = lm_scoring.Code.of((lm_scoring.letter_counts(rare) + 1).tolist())
+    bits = np.diff(code.off)
+    assert seen[64] == sum(bits[list(w + b"\n")].sum() for w in rare)
+
+
+def test_repeated_words_of_a_text():
+    rnd = np.random.default_rng(7)
+    texts = [rnd.integers(0, 6, k) for k in (0, 1, 30, 0, 7)]
+    again, text, word, n = lm_scoring.repeats(5, np.repeat(np.arange(5), [len(t) for t in texts]), np.concatenate(texts))
+    for k, ws in enumerate(texts):
+        slow, before = 0.0, Counter()
+        for j, w in enumerate(ws.tolist()):
+            if before[w]:
+                slow += math.log10(lm_scoring.RECALL * before[w] / j)
+            before[w] += 1
+        assert math.isclose(again[k], slow, abs_tol=1e-9)
+        assert {x: m for x, m, t in zip(word.tolist(), n.tolist(), text.tolist(), strict=True) if t == k} == before
+    nothing = np.zeros(0, np.int64)
+    assert all(len(x) == 0 for x in lm_scoring.repeats(2, nothing, nothing)[1:])
+
+
+def test_words_of_bytes():
+    """As Python splits bytes, whatever they are."""
+    texts = [b"", b" \t\n\x0b\x0c\r ", b"A b\x0bC\x0cd\re", b"\x1c\x85\xa0 \x00x", b"\xff\xfe Z\xc3", "É\u3000x \u2003".encode(), b"  one", b"two  "]
+    words, border = lm_scoring.split_words(pa.array(texts, pa.binary()))
+    got = [x.as_buffer().to_pybytes() for x in words]
+    assert [got[a:b] for a, b in zip(border[:-1], border[1:], strict=True)] == [t.lower().split() for t in texts]

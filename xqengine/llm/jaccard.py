@@ -13,9 +13,11 @@ intersection is at least ``percent`` per cent of the union. The steps, all exact
    only partners of a size that can reach the bound, hashed bitmap signatures whose bit
    counts bound the overlap from above, and an exact intersection of sorted arrays for
    those that pass and aren't in one class already. A group that fills several tiles adds
-   its least sets to each as pivots; afterwards, sets outside the group's largest class
-   meet the other tiles, block by block, so no link is lost. Sets inside a class aren't
-   compared again: a group of near copies costs one comparison a set, not all pairs.
+   its least sets to each as pivots; afterwards, the signatures of sets outside the group's
+   largest class meet those of all others, and the tiles in which one may have a link meet
+   it, block by block, so no link is lost. Sets inside a class aren't compared again: a
+   group of near copies costs one comparison a set, not all pairs, and a group of unlike
+   sets moves signatures, not tokens.
 5. Components of the links give the classes.
 
 Defined results: null, empty and white-space texts have an empty set and link to nothing;
@@ -39,6 +41,8 @@ from xqengine.llm.components import components
 
 #: Sets compared with each other in one tile; pivots that several tiles share.
 TILE, PIVOTS = 1000, 8
+#: Sets whose signatures (128 bytes each) are compared in one tile.
+SIGNED_TILE = 8000
 #: Text bytes for each hash range, which one task holds.
 RANGE_BYTES = 16 << 20
 SIGNATURE_WORDS = 16
@@ -260,6 +264,7 @@ def tile_links(fp: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], label: n
 
     have = np.array([len(t) for t in tokens])
     sig = signatures(tokens)
+    bits = np.bitwise_count(sig).sum(1)
     split = bool(other.any())
     top = np.searchsorted(n, n * 100 // percent, "right")  # partners of a size that can link
     now = label.copy()
@@ -273,9 +278,7 @@ def tile_links(fp: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], label: n
             j = j[other[j] != other[i]]
         if not len(j):
             continue
-        only_i = np.bitwise_count(sig[i] & ~sig[j]).sum(1)
-        only_j = np.bitwise_count(sig[j] & ~sig[i]).sum(1)
-        most = np.minimum(have[i] - only_i, have[j] - only_j)
+        most = _bounded_overlap(sig[j], bits[j], have[j], sig[i], bits[i], have[i])
         j = j[100 * most >= percent * (n[i] + n[j] - most)]
         for x in j.tolist():
             if now[x] == now[i]:
@@ -344,16 +347,80 @@ def _classes(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     outside = materialise(inside.join(F.broadcast(most) if most.count() <= 100_000 else most, "grp").where("label <> main"), "jaccard-outside")
     if not outside.limit(1).count():
         return done
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks"))
-    blocks = outside.groupBy("grp").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
-    met = inside.join(blocks, "grp").withColumn("chunk", own).join(sets.select("fp", "n", "tokens"), "fp")
-    met = met.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(F.col("grp").alias("tile_a"), F.col("chunk").alias("tile_b"), F.col("block").alias("tile_c"), "fp", "n", "tokens", "label", F.lit(False).alias("other"))
-    out = outside.join(blocks, "grp").join(sets.select("fp", "n", "tokens"), "fp").withColumn("block", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")))
-    out = out.withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).where(F.col("chunk") != own).select(F.col("grp").alias("tile_a"), F.col("chunk").alias("tile_b"), F.col("block").alias("tile_c"), "fp", "n", "tokens", "label", F.lit(True).alias("other"))
-    more = materialise(_tiles(met.unionByName(out), percent), "jaccard-links")
+    inside = inside.join(outside.select("fp", F.lit(True).alias("out")), "fp", "left").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")))
+    asked = materialise(_asked(inside.join(sets.select("fp", "n", "tokens"), "fp"), percent), "jaccard-asked")
+    # Chunks that some set asks for meet the sets that ask, a block of these at a time.
+    blocks = materialise(asked.groupBy("grp", "chunk").agg(F.ceil(F.count("*") / TILE).alias("blocks")), "jaccard-blocks")
+    whole = inside.join(sets.select("fp", "n", "tokens"), "fp")
+    met = whole.join(blocks, ["grp", "chunk"]).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("other", F.lit(False))
+    out = asked.join(blocks, ["grp", "chunk"]).withColumn("block", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks"))).withColumn("other", F.lit(True))
+    out = out.join(whole.select("fp", "n", "tokens", "label"), "fp")
+    cols = [F.col("grp").alias("tile_a"), F.col("chunk").alias("tile_b"), F.col("block").alias("tile_c"), "fp", "n", "tokens", "label", "other"]
+    more = materialise(_tiles(met.select(*cols).unionByName(out.select(*cols)), percent), "jaccard-links")
     return materialise(components(links.unionByName(more)), "jaccard-classes")
 
 
+def _bounded_overlap(sig: np.ndarray, bits: np.ndarray, have: np.ndarray, i_sig: np.ndarray, i_bits: int, i_have: int) -> np.ndarray:
+    """The most shingles that a set can share with each of others, by their signatures."""
+    both = np.bitwise_count(sig & i_sig).sum(1)
+    return np.minimum(i_have - (i_bits - both), have - (bits - both))
+
+
+def _asked(rows: DataFrame, percent: int) -> DataFrame:
+    """(grp, chunk, fp): the chunks of its group that a set marked ``out`` may have a link
+    in, other than its own, by signatures alone. These are small, so that sets that share
+    shingles but are unlike never make their tokens move."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [np.frombuffer(t.as_py(), _TOKEN) for t in batch.column("tokens")]
+            sig = signatures(tokens)
+            keep = [batch.column(c) for c in ("grp", "chunk", "fp", "n", "label")]
+            cols = [*keep, batch.column("out").fill_null(False), pa.array([len(t) for t in tokens], pa.int64()), _binary(np.arange(len(sig) + 1) * sig[:1].nbytes, sig.view(np.uint8).ravel())]
+            yield pa.RecordBatch.from_arrays(cols, ["grp", "chunk", "fp", "n", "label", "out", "have", "sig"])
+
+    columns = ("grp", "chunk", "fp", "n", "label", "out", "have", "sig")
+    signed = map_arrow(rows.select("grp", "chunk", "fp", "n", "label", "out", "tokens"), sign, "grp long, chunk long, fp long, n long, label long, out boolean, have long, sig binary")
+    signed = materialise(signed, "jaccard-signatures")
+    sizes = signed.groupBy("grp").agg(F.ceil(F.count("*") / SIGNED_TILE).alias("as"), F.ceil(F.count_if("out") / SIGNED_TILE).alias("bs"))
+    signed = signed.join(materialise(sizes, "jaccard-signed-sizes"), "grp")
+    mine, turn = F.pmod(F.xxhash64("fp", F.lit(2)), F.col("as")), F.pmod(F.xxhash64("fp", F.lit(3)), F.col("bs"))
+    every = signed.withColumn("asks", F.lit(False)).withColumn("a", mine).withColumn("b", F.explode(F.expr("sequence(0L, bs - 1)")))
+    asking = signed.where("out").withColumn("asks", F.lit(True)).withColumn("b", turn).withColumn("a", F.explode(F.expr("sequence(0L, `as` - 1)")))
+    both = every.unionByName(asking).select("a", "b", "asks", *columns)
+    both = both.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b", "asks")
+
+    def meet(held: list[tuple]) -> pa.RecordBatch:
+        asks, grp, chunk, fp, n, label, _, have, sig = (np.array(x) if k < 8 else x for k, x in enumerate(zip(*held, strict=True)))
+        sig = np.frombuffer(b"".join(sig), np.uint64).reshape(len(held), -1)
+        bits = np.bitwise_count(sig).sum(1)
+        at = np.flatnonzero(~asks)
+        at = at[np.argsort(n[at], kind="stable")]
+        sizes, near = n[at], (sig[at], bits[at], have[at])
+        found = []
+        for i in np.flatnonzero(asks).tolist():
+            low, high = np.searchsorted(sizes, -(-int(n[i]) * percent // 100)), np.searchsorted(sizes, int(n[i]) * 100 // percent, "right")
+            most = _bounded_overlap(*(x[low:high] for x in near), sig[i], bits[i], have[i])
+            k = at[low:high][100 * most >= percent * (n[i] + sizes[low:high] - most)]
+            k = k[(label[k] != label[i]) & (chunk[k] != chunk[i])]
+            found += [(int(c), int(fp[i])) for c in np.unique(chunk[k])]
+        return pa.RecordBatch.from_arrays([pa.array([int(grp[0])] * len(found), pa.int64()), pa.array([c for c, _ in found], pa.int64()), pa.array([f for _, f in found], pa.int64())], ["grp", "chunk", "fp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            for key, row in zip(zip(*[batch.column(c).to_pylist() for c in ("grp", "a", "b")], strict=True), zip(*[batch.column(c).to_pylist() for c in ("asks", *columns)], strict=True), strict=True):
+                if key != now:
+                    if held:
+                        yield meet(held)
+                    held, now = [], key
+                held.append(row)
+        if held:
+            yield meet(held)
+
+    return map_arrow(both, run, "grp long, chunk long, fp long").distinct()
+
+
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``docs``."""
     spark = docs.sparkSession
@@ -379,3 +446,15 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle; fast enough for a few thousand documents.
+ORACLE = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) END) AS sh FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 75 * (x.n + y.n - c)),
+both_ways AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT b.v, r.c FROM r JOIN both_ways b ON b.u = r.doc_id WHERE r.c < b.v)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(r.c), d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY d.doc_id"""

@@ -140,12 +140,11 @@ def cutoffs(counted: DataFrame, n_by: int, min_rows: int, reach: int) -> DataFra
     for depth in range(n_by, -1, -1):  # this group's sketch, then its parents'
         keys = by[:depth]
         merged = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
-        merged.createOrReplaceTempView("_xq_sketch")
         cols = ", ".join([*keys, "measure"])
         quart = counted.sparkSession.sql(f"""
-            WITH c AS (SELECT *, sum(n) OVER (PARTITION BY {cols} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {cols}) AS total FROM _xq_sketch)
+            WITH c AS (SELECT *, sum(n) OVER (PARTITION BY {cols} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {cols}) AS total FROM {{sketch}})
             SELECT {cols}, max(total) AS total, min(bin) FILTER (WHERE 4 * upto >= total) AS q1, min(bin) FILTER (WHERE 4 * upto >= 3 * total) AS q3
-            FROM c GROUP BY {cols}""")
+            FROM c GROUP BY {cols}""", sketch=merged)
         slack = F.create_map(*[x for m in MEASURES for x in (F.lit(m.name), F.lit(m.slack))])[F.col("measure")]
         wide = quart.groupBy(*keys).agg(
             F.max("total").alias(f"total_{depth}"),
@@ -161,7 +160,8 @@ def cutoffs(counted: DataFrame, n_by: int, min_rows: int, reach: int) -> DataFra
                 on = same if on is None else on & same
             limits = left.join(right, on, "left").drop(*[f"r_{k}" for k in keys])
         else:
-            limits = left.crossJoin(F.broadcast(wide))  # one row: the whole table's sketch
+            whole = wide.first()  # the whole table's sketch: one row
+            limits = left.select("*", *[F.lit(whole[c]).cast("long").alias(c) for c in wide.columns])
     def pick(name: str):
         options = [F.when(F.col(f"total_{d}") >= min_rows, F.col(f"{name}_{d}")) for d in range(n_by, 0, -1)]
         return F.coalesce(*options, F.col(f"{name}_0")).alias(name)

@@ -14,7 +14,8 @@ of the rows is summed before it moves and its join can be split.
 
 Defined results: null, empty and white-space texts have no units; each row is a document of
 its own, with a repeated or null id too: rank is the id (null last), then the text's hash,
-then the row's number, so of equal rows one stays; an empty table gives no rows; other columns are ignored.
+then the row's number, so of equal rows one stays; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -121,4 +122,17 @@ def remove_spans(docs: DataFrame, found: DataFrame, *, text_col: str = "text", r
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents")).drop("row")
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("row", "text_hash")
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: Of tables whose ids are unique; units are compared themselves instead of by digests.
+ORACLE = f"""
+WITH cut AS (SELECT doc_id, string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '([.!?])[\x20\x09-\x0D]', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM documents),
+flat AS (SELECT doc_id, unnest(parts) AS p, generate_subscripts(parts, 1) AS k FROM cut),
+placed AS (SELECT *, sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(p) - 1 AS pre, regexp_extract_all(p, '[^\x20\x09-\x0D]+') AS ws FROM flat),
+u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS ord, pre + length(p) - length(ltrim(p, {_BLANKS})) AS s, pre + length(rtrim(p, {_BLANKS})) AS e, len(ws) AS words, array_to_string(ws, ' ') AS norm FROM placed WHERE len(ws) > 0),
+f AS (SELECT norm, min(doc_id) AS first_id FROM u GROUP BY norm HAVING count(*) > 1),
+hit AS (SELECT * FROM (SELECT u.*, first_id, row_number() OVER (PARTITION BY doc_id, norm ORDER BY ord) > 1 AS again FROM u JOIN f USING (norm)) WHERE again OR doc_id > first_id),
+runs AS (SELECT *, ord - row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS run FROM hit)
+SELECT doc_id, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "end", count(*) AS n_units, CAST(sum(words) AS BIGINT) AS n_words, min(first_id) AS kept_doc_id FROM runs GROUP BY doc_id, run"""

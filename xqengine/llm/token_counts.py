@@ -18,9 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xqengine.llm.common import map_arrow, shared_dir, table
+from xqengine.llm.common import map_arrow, materialise, shared_dir, table
 from xqengine.llm.tokens import digest_of_file, encoder
 
+#: Most digests to encode that are broadcast (some 200 bytes each), and the least number of
+#: rows for each of them.
+BROADCAST_MISSES, FEW = 500_000, 10
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens long"
 
 
@@ -44,8 +47,10 @@ def count_misses(misses: DataFrame, path: str) -> DataFrame:
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), one row for each row of ``docs``.
 
-    Only the 64-hex digests and ids are grouped; texts move once, to meet the list of
-    digests to encode, in a hash join whose build side holds the ids (no sort of texts).
+    Only the 64-hex digests and ids are grouped. Where few texts are to encode, as a filled
+    cache leaves it, the list of their digests is broadcast and no text moves; else texts
+    move once, to meet that list, in a hash join whose build side holds the ids (no sort of
+    texts).
     The cache has one row a key, as only keys that it lacks are appended (one writer at a
     time), so the last join is of two plain reads and a digest that many rows share can be
     split."""
@@ -62,7 +67,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, *, id_co
     first = keyed.groupBy("content_digest").agg(F.min("id").alias("first_id"))
     if fs.exists(path):
         first = first.join(stored(), "content_digest", "left_anti")
-    a, b = keyed.alias("a"), first.hint("shuffle_hash").alias("b")
+    first = materialise(first, "token-misses")
+    n = first.count()
+    few = n <= BROADCAST_MISSES and FEW * n <= docs.count()
+    a, b = keyed.alias("a"), (F.broadcast(first) if few else first.hint("shuffle_hash")).alias("b")
     same = F.col("a.id").eqNullSafe(F.col("b.first_id")) & (F.col("a.content_digest") == F.col("b.content_digest"))
     misses = a.join(b, same, "left_semi")
     new = count_misses(misses, tokenizer_path).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")).withColumn("tokenizer_digest", F.lit(version))
