@@ -3,13 +3,17 @@ contaminated documents go, sources are mixed to their weights, rows are placed o
 
 Each stage works on all that the one before it kept, and its result is written as Parquet
 and read again, so a lost executor costs at most a stage's own work. Stages return the
-columns of ``documents``; the last adds ``slot`` and ``shard``. Rows with a null id can't
-be told apart: no list of ids removes them. Mixing may take a document in several epochs,
-each of them a row.
+columns of ``documents``, whatever further columns there are and whatever their names; the
+last adds ``slot`` and ``shard``, in place of columns of these names. Rows are told apart by
+a key that a stage gives them, not by their ids: rows with one id, or none, are documents
+of their own. Of near duplicates the row with the least id stays (of several, any one; a
+null id comes last). Mixing may take a document in several epochs, each of them a row.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,35 +25,53 @@ from xqengine.llm.sharding import shard
 from xqengine.llm.toxicity import fit, score
 
 TOXIC = 0.3
-#: Most ids (8 bytes each) that a stage broadcasts; more are met by a shuffle.
+#: Most row keys (8 bytes each) that a stage broadcasts; more are met by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    gone = materialise(ids.where("doc_id IS NOT NULL").distinct(), name)
+def _own_name(stem: str) -> str:
+    return f"__{stem}_{uuid.uuid4().hex[:12]}"
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key for each row, written, so that it stays the same."""
+    key = _own_name("row")
+    return materialise(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
+def _without(docs: DataFrame, key: str, gone: DataFrame, name: str) -> DataFrame:
+    """The rows of keyed ``docs`` whose key isn't among ``gone``, without the key."""
+    gone = materialise(gone.select(key), name)
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, key, "left_anti").drop(key)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    scored = score(docs, model, keep_text=True, name="__score")
-    return scored.where(F.col("__score") < TOXIC).select(*docs.columns)
+    model, name = fit(docs, table(spark, sf_dir, "labels")), _own_name("score")
+    return score(docs, model, keep_text=True, name=name).where(F.col(name) < TOXIC).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard_classes(docs)
-    return _without(docs, classes.where("doc_id <> component_id").select("doc_id"), "near-duplicates")
+    docs, key = _keyed(docs)
+    classes = jaccard_classes(docs, id_col=key).select(key, "component_id")
+    rows = docs.select(key, F.col("doc_id").alias("doc")).join(classes, key)
+    rows = materialise(rows.select(key, "component_id", F.struct(F.col("doc").isNull().alias("no"), "doc", F.col(key).alias("row")).alias("rank")), "near-duplicate-ranks")
+    first = rows.groupBy("component_id").agg(F.count("*").alias("n"), F.min("rank").alias("rank")).where("n > 1")
+    gone = rows.join(first.select("component_id", F.col("rank.row").alias("first")), "component_id").where(F.col(key) != F.col("first"))
+    return _without(docs, key, gone, "near-duplicates")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated").select("doc_id"), "contaminated")
+    docs, key = _keyed(docs)
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), id_col=key)
+    return _without(docs, key, found.where("contaminated"), "contaminated")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(with_domain(docs), levels=("domain", "lang", "source"), weights=WEIGHTS).select(*docs.columns)
+    domain = _own_name("domain")
+    mixed = mix(with_domain(docs, domain), levels=(domain, "lang", "source"), weights=WEIGHTS, tokens_out=_own_name("tokens"), epoch_out=_own_name("epoch"))
+    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
