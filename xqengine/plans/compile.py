@@ -59,6 +59,8 @@ class Plan:
 
     def __init__(self, corpus: Corpus):
         self.corpus, self.n = corpus, 0
+        #: Whether candidates are the roots, one for each document; not so inside predicates.
+        self.at_roots = True
 
     def fresh(self, stem: str) -> str:
         self.n += 1
@@ -72,6 +74,7 @@ class Plan:
 
     def contexts(self, nodes: DataFrame) -> DataFrame:
         """Candidates from a node-set: each node is a context of its own."""
+        self.at_roots = False
         own = nodes.select("doc_id", F.lit("").alias("ck"), F.lit(0).cast("long").alias("cx"), *NODE)
         return self.keyed(own).withColumn("__pos", F.lit(1.0)).withColumn("__last", F.lit(1.0))
 
@@ -91,13 +94,13 @@ class Plan:
         if isinstance(e, Path):
             steps = fuse(e.steps)
             if e.base is not None:
-                return self.steps(self.node_set(e.base, cands), steps, cands is None)
+                return self.steps(self.node_set(e.base, cands), steps, cands is None or self.at_roots)
             if cands is None:
                 return self.from_root(steps)
             start = self._as_context(cands)
             if e.absolute:
                 start = start.select("doc_id", "ck").distinct().join(self.corpus.nodes.where("kind = 'root'"), "doc_id").select("doc_id", "ck", *NODE)
-            return self.steps(start, steps)
+            return self.steps(start, steps, self.at_roots)
         if isinstance(e, Union):
             both = self.node_set(e.left, cands).unionByName(self.node_set(e.right, cands))
             return both.dropDuplicates(["doc_id", "ck", "node_id"])
@@ -181,15 +184,14 @@ class Plan:
             return b.join(tree, own[0] & (F.col("parent_id") == F.col("b_parent")) & side).select("doc_id", "ck", cx, *NODE)
         if not one_key:
             return None
-        ends = ctx.select("doc_id", "node_id", F.col("close_id").alias("_end"))
-        marks = ends.select("doc_id", "node_id", "_end", F.lit(True).alias("_mark"))
+        marks = ctx.select("doc_id", "node_id", F.col("close_id").alias("_end"), F.col("ck").alias("_key"), F.lit(True).alias("_mark"))
         down = s.axis.startswith("descendant")
         rows = (tree if down else n.where("kind IN ('root', 'element')")).withColumn("_mark", F.lit(False))
         swept = rows.unionByName(marks, allowMissingColumns=True)
         before = W.partitionBy("doc_id").orderBy(F.asc("node_id") if down else F.desc("node_id"), F.asc("_mark")).rowsBetween(W.unboundedPreceding, -1)
         seen = F.max("_end").over(before) if down else F.min(F.when(F.col("_mark"), F.col("node_id"))).over(before)
         hit = F.col("_seen") > F.col("node_id") if down else F.col("_seen") < F.col("close_id")
-        found = swept.withColumn("_seen", seen).where(~F.col("_mark") & hit).select("doc_id", F.lit("").alias("ck"), cx, *NODE)
+        found = swept.withColumn("_seen", seen).withColumn("ck", F.max("_key").over(before)).where(~F.col("_mark") & hit).select("doc_id", "ck", cx, *NODE)
         if s.axis.endswith("-or-self"):
             selves = ctx.where(test_condition(s.test, s.axis)).select("doc_id", "ck", cx, *NODE)
             found = found.unionByName(selves).dropDuplicates(["doc_id", "node_id"])
@@ -236,7 +238,9 @@ class Plan:
                     df = df.withColumn("__last", F.lit(0.0))
             else:
                 df = df.withColumn("__pos", F.lit(0.0)).withColumn("__last", F.lit(0.0))
+            outside, self.at_roots = self.at_roots, False
             df, col, kind = self.value(p, self.keyed(df))
+            self.at_roots = outside
             keep = (F.col("__pos") == col) if kind == "number" else V.to_boolean(col, kind)
             df = df.where(keep).select("doc_id", "ck", "cx", *NODE)
         return df
