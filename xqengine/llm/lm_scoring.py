@@ -781,11 +781,13 @@ def score_texts(docs: DataFrame, *, dictionary: int | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([uid, n, pa.array(score)], ["uid", "base", "score"])
 
     rows = materialise(map_arrow(docs.select("uid", "id", "text", "learn"), run, f"uid long, word binary, n int, facts {facts}"), "lm-words")
-    others, counted = rows.where("facts IS NULL").select("uid", "word", "n"), rare.hint("shuffle_hash")
+    # Both kinds of other words come from one join, in forms that share its exchanges.
+    others = rows.where("facts IS NULL AND word IS NOT NULL").select("uid", "word", "n")
+    joined = others.join(rare.where("word IS NOT NULL").hint("shuffle_hash"), "word", "left")
     nothing = {"id": F.lit(None).cast("long"), "n_tokens": F.lit(0).cast("long"), "n_bytes": F.lit(0).cast("long")}
     share = F.log10(F.lit((1 - RECALL) * (1 - unseen) / max(n_rare, 1)) * F.col("c"))
-    seen = others.join(counted, "word").select("uid", F.col("n").cast("long").alias("n_known"), (F.col("n") * F.log10(F.col("c") + 1.0)).alias("base"), share.alias("score"))
-    new = map_arrow(others.join(counted, "word", "left_anti").select("uid", "word"), spell, "uid long, base double, score double")
+    seen = joined.where("c IS NOT NULL").select("uid", F.col("n").cast("long").alias("n_known"), (F.col("n") * F.log10(F.col("c") + 1.0)).alias("base"), share.alias("score"))
+    new = map_arrow(joined.where("c IS NULL").select("uid", "word", "n"), spell, "uid long, base double, score double")
     parts = seen.unionByName(new.withColumn("n_known", F.lit(0).cast("long"))).select("uid", "n_known", "base", "score", *[x.alias(c) for c, x in nothing.items()])
     parts = parts.unionByName(rows.where("facts IS NOT NULL").select("uid", "facts.*"))
     more = {"n_known": F.lit(0).cast("long"), "base": F.lit(0.0)} | nothing
