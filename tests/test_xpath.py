@@ -143,6 +143,8 @@ def test_shredding_needs_no_exchange(spark):
     docs = spark.createDataFrame([(1, "<a/>")], "doc_id int, content string")
     plan = shred(docs).nodes._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
+    dealt = shred(docs, partitions=3)
+    assert dealt.nodes.rdd.getNumPartitions() == 3 and dealt.nodes.count() == 2
 
 
 def test_offsets_of_bytes_and_characters(spark):

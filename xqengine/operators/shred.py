@@ -318,11 +318,12 @@ def tokens(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, pos long, tok string, kind string, depth int, byte_start long, byte_end long, c0 long, c1 long")
 
 
-def shred(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content", *, names: tuple[str, ...] | None = None, for_xpath: str | None = None, mode: str = "PERMISSIVE") -> Corpus:
+def shred(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content", *, names: tuple[str, ...] | None = None, for_xpath: str | None = None, mode: str = "PERMISSIVE", partitions: int | None = None) -> Corpus:
     """Shred (id, content) rows; null content counts as ''. ``names`` keeps only elements
     of these names (and all else that isn't an element) after the tree is known;
     ``for_xpath`` takes the names from an expression, and keeps all where any element may
-    matter. ``mode``: PERMISSIVE keeps bad documents in ``errors``, FAILFAST raises on the
+    matter. ``partitions`` deals documents out anew before they are shredded, for few files
+    with many documents. ``mode``: PERMISSIVE keeps bad documents in ``errors``, FAILFAST raises on the
     first in any job that reads nodes, texts or errors."""
     if for_xpath is not None:
         from xqengine.plans.analyze import selectivity
@@ -333,6 +334,8 @@ def shred(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content",
     if mode not in ("PERMISSIVE", "FAILFAST"):
         raise ValueError(f"mode is PERMISSIVE or FAILFAST, not {mode!r}")
     slim = _slim(docs, id_col, content_col)
+    if partitions:
+        slim = slim.repartition(partitions)
     few, strict = None if names is None else frozenset(names), mode == "FAILFAST"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
