@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from xqengine.functions import values as V
-from xqengine.operators.shred import NODE, Corpus, shred
+from xqengine.operators.shred import NODE, Corpus, shred, unsized
 from xqengine.plans.analyze import Selectivity, selectivity
 from xqengine.plans.ast import Expr, type_of
 from xqengine.plans.compile import Plan
@@ -59,7 +59,7 @@ class CompiledXPath:
         out = own.unionByName(kids.select("doc_id", F.col("p_id").alias("node_id"), F.col("node_id").alias("text_id"), "kind", "text", "c0", "c1"))
         if raw:
             own_docs = corpus.docs.join(out.select("doc_id").distinct(), "doc_id", "left_semi")
-            out = out.join(own_docs, "doc_id").withColumn("text", F.when(F.col("kind") == "text", F.substr("content", (F.col("c0") + 1).cast("int"), (F.col("c1") - F.col("c0")).cast("int"))).otherwise(F.col("text")))
+            out = out.join(unsized(own_docs), "doc_id").withColumn("text", F.when(F.col("kind") == "text", F.substr("content", (F.col("c0") + 1).cast("int"), (F.col("c1") - F.col("c0")).cast("int"))).otherwise(F.col("text")))
         return out.select("doc_id", "node_id", "text_id", "text")
 
     def evaluate(self, corpus: Corpus) -> DataFrame:

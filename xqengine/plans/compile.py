@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from xqengine.functions import values as V
-from xqengine.operators.shred import NODE, Corpus
+from xqengine.operators.shred import NODE, Corpus, unsized
 from xqengine.plans.ast import REVERSE, Binary, Call, Expr, Filter, Negate, Num, Path, Step, Str, Test, Union, positional, type_of
 
 #: Axes that from a set of distinct nodes reach no node twice.
@@ -258,7 +258,7 @@ class Plan:
         """Join (doc_id, ck, cols) back to the candidates under fresh names."""
         d, k, names = self.fresh("d"), self.fresh("c"), [self.fresh("v") for _ in cols]
         right = by_key.select(F.col("doc_id").alias(d), F.col("ck").alias(k), *[F.col(c).alias(n) for c, n in zip(cols, names, strict=True)])
-        joined = df.join(right, (F.col("doc_id") == F.col(d)) & (F.col("__k") == F.col(k)), "left").drop(d, k)
+        joined = df.join(unsized(right), (F.col("doc_id") == F.col(d)) & (F.col("__k") == F.col(k)), "left").drop(d, k)
         return joined, [F.col(n) for n in names]
 
     def single(self, e: Expr, df: DataFrame) -> tuple[DataFrame, Column] | None:
@@ -398,7 +398,7 @@ class Plan:
         if e.args:
             ns = self.node_set(e.args[0], df)
             first = ns.groupBy("doc_id", "ck").agg(F.min("node_id").alias("_first"))
-            ns = ns.join(first, ["doc_id", "ck"]).where("node_id = _first").drop("_first")
+            ns = ns.join(unsized(first), ["doc_id", "ck"]).where("node_id = _first").drop("_first")
         else:
             ns = self._as_context(df)
         ns = ns.where("kind IN ('element', 'attribute')")
