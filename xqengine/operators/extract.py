@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from xqengine.operators.shred import SLOT, Corpus
+from xqengine.operators.shred import SLOT, Corpus, unsized
 
 
 def _slice(text: str, start: Column, end: Column) -> Column:
@@ -19,7 +19,7 @@ def _slice(text: str, start: Column, end: Column) -> Column:
 
 def _docs_of(corpus: Corpus, nodes: DataFrame) -> DataFrame:
     """The documents that have one of the nodes: only their contents move to a join."""
-    return corpus.docs.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi")
+    return unsized(corpus.docs.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi"))
 
 
 def raw_xml(corpus: Corpus, nodes: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def canonical(corpus: Corpus, nodes: DataFrame) -> DataFrame:
     pieces = first.unionByName(last).withColumn("end", F.sum(size).over(run)).withColumn("begin", F.col("end") - size)
     whole = pieces.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "sub", "s"))), lambda x: x["s"]), "").alias("__all"))
     ends = pieces.groupBy("doc_id", "node_id").agg(F.min("begin").alias("__b"), F.max("end").alias("__e"))
-    return nodes.join(ends, ["doc_id", "node_id"]).join(whole, "doc_id").withColumn("canonical", _slice("__all", F.col("__b"), F.col("__e"))).drop("__all", "__b", "__e")
+    return nodes.join(unsized(ends), ["doc_id", "node_id"]).join(unsized(whole), "doc_id").withColumn("canonical", _slice("__all", F.col("__b"), F.col("__e"))).drop("__all", "__b", "__e")
 
 
 def descendants_of(corpus: Corpus, nodes: DataFrame, names: tuple[str, ...]) -> DataFrame:
