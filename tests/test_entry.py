@@ -51,7 +51,7 @@ def test_titles_keep_references_that_their_sql_keeps(spark, con, tmp_path):
     assert len(got) == 2 and rows(got, ["doc_id", "value"]) == rows(want, ["doc_id", "value"])
 
 
-@pytest.mark.parametrize("name", ["test_node", "eval_with_context", "extract_canonical", "test_any_and_text"])
+@pytest.mark.parametrize("name", ["test_node", "eval_with_context", "extract_canonical", "test_any_and_text", "odd_markup_elements"])
 def test_nodes_are_not_broadcast(spark, name):
     """Their sizes are taken for those of the table they come from, whatever its size."""
     plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
