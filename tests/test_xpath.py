@@ -263,3 +263,32 @@ def test_large_documents_in_linear_time(spark):
     for text, (nested, flat) in want.items():
         assert values(c, text) == {0: nested, 1: flat}, text
     assert time.time() - began < 60
+
+
+def test_short_documents_are_shredded_like_long_ones(monkeypatch):
+    import pyarrow as pa
+
+    from xqengine.operators import shred as S
+
+    parts = ["<a>", "</a>", "<b x='1' y=\"&lt;é\">", "<c xmlns='u' xmlns:p='v' p:z=''>", "<d/>", "t", "é&amp;x", "<!--n-->", "<!--", "<![CDATA[x<y]]>", "<![CDATA[", "<!D x>", "<?xml v?>", "<?p q?>", "<", "<>", "</>", '"', "日"]
+    docs = ["".join(parts[(i * 7 + j * j * (i % 11 + 1)) % len(parts)] for j in range(i % 13)).encode() for i in range(2000)]
+
+    def made(names):
+        rows = S._Rows(names)
+        for raw in docs:
+            rows.document(raw, False)
+        return rows.batch(pa.array(range(len(docs))))
+
+    for names in (None, frozenset({"a", "c"})):
+        fast = made(names)
+        with monkeypatch.context() as m:
+            m.setattr(S, "_SHORT", -1)
+            assert fast.equals(made(names))
+
+
+def test_a_corpus_for_one_expression_needs_no_join(spark):
+    docs = spark.createDataFrame([(1, "<a><b k='1'>x</b><b>y</b></a>"), (2, None), (3, "<b k='2'/>"), (4, "<a><b k='3'")], "doc_id int, content string")
+    compiled = api.compile_xpath("//b[@k]/@k")
+    lazy = compiled.string_values(shred(docs, for_xpath=compiled.text))
+    assert "Join" not in lazy._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, lazy.collect())) == sorted(map(tuple, compiled.string_values(shred(docs).persist()).collect()))

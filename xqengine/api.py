@@ -44,7 +44,10 @@ class CompiledXPath:
         return Plan(corpus).node_set(self.ast, None).select("doc_id", *NODE)
 
     def string_values(self, corpus: Corpus) -> DataFrame:
-        """(doc_id, node_id, kind, name, value) with each node's string value."""
+        """(doc_id, node_id, kind, name, value) with each node's string value. Of a corpus
+        that was shredded for this expression and isn't kept, in one pass over its documents."""
+        if corpus.only is not None and corpus.only[0] == self.text and self.kind == "nodeset":
+            return per_document(corpus.docs, self.text, mode=corpus.only[1])
         plan = Plan(corpus)
         return plan.strings(self.select(corpus)).select("doc_id", "node_id", "kind", "name", F.col("sv").alias("value"))
 
