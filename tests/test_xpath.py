@@ -292,3 +292,23 @@ def test_a_corpus_for_one_expression_needs_no_join(spark):
     lazy = compiled.string_values(shred(docs, for_xpath=compiled.text))
     assert "Join" not in lazy._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, lazy.collect())) == sorted(map(tuple, compiled.string_values(shred(docs).persist()).collect()))
+
+
+def test_sql_functions_share_a_documents_tree(spark, monkeypatch):
+    import sys
+
+    from xqengine.plans import interpret
+
+    made = {}
+    monkeypatch.delitem(sys.modules, "_xqengine_recent", raising=False)
+    monkeypatch.setattr(interpret.types, "SimpleNamespace", lambda **x: made.setdefault("kept", type("Kept", (), x)()))
+    kept = []
+
+    class Registry:
+        def register(self, name, how):
+            kept.append(how.func)
+
+    interpret.register_functions(type("Session", (), {"udf": Registry(), "udtf": Registry.__new__(type("R", (), {"register": lambda *a: None}))})())
+    got = [f("<a k='1'>2</a>", "//a") for f in kept]
+    monkeypatch.delitem(sys.modules, "_xqengine_recent", raising=False)
+    assert got == ["2", 2.0, True, ["2"]] and len(made["kept"].trees) == 1 and list(made["kept"].parsed) == ["//a"]
