@@ -4,7 +4,7 @@ from xqengine import api
 from xqengine.operators import skipping
 from xqengine.operators.shred import shred
 from xqengine.sources.documents import read_files, read_records
-from xqengine.sources.store import load_or_shred, read_stats, stale
+from xqengine.sources.store import load, load_or_shred, read_stats, save, stale
 from xqengine.streaming.stream import stream_query
 
 
@@ -21,6 +21,31 @@ def test_store_shreds_only_what_changed(spark, tmp_path):
     assert {tuple(r["tag_names"]) for r in read_stats(spark, path).collect()} == {("a",), ("b",), ("a", "b")}
 
 
+def test_store_is_written_in_one_pass(spark, tmp_path):
+    """Each document is read and shredded once, whatever is kept of it; a corpus that is kept in
+    the session gives the same store."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    contents = ["<a x='1'>t<b>u</b><?p q?><!--c--></a>", "", None, "<open", "<b><a/><a><c>é</c></a></b>", "text"]
+    docs = spark.createDataFrame(list(enumerate(contents * 3)), "doc_id int, content string")
+    save(shred(docs.mapInArrow(counted, docs.schema)), str(tmp_path / "one"))
+    assert seen.value == len(contents) * 3
+    save(shred(docs).persist(), str(tmp_path / "two"))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    one, two, direct = load(spark, str(tmp_path / "one"), docs), load(spark, str(tmp_path / "two"), docs), shred(docs)
+    for part in ("nodes", "texts", "errors"):
+        assert rows(getattr(one, part)) == rows(getattr(two, part)) == rows(getattr(direct, part))
+    stats = rows(read_stats(spark, str(tmp_path / "one")))
+    assert len(stats) == len(contents) * 3 and stats == rows(read_stats(spark, str(tmp_path / "two")))
+    of = read_stats(spark, str(tmp_path / "one")).drop("content_hash").where("tag_names IS NOT NULL")
+    assert rows(of) == rows(skipping.doc_stats(direct).select(of.columns))
+
+
 def test_files_and_records(spark, tmp_path):
     (tmp_path / "x.xml").write_text("<r><row k='1'>a</row> <row>b</row><rows/></r>")
     docs = read_files(spark, str(tmp_path))

@@ -83,11 +83,16 @@ def filter_from_content(docs: DataFrame, content_col: str = "content") -> DataFr
     """``docs`` with ``bloom_lo`` and ``bloom_hi`` of the tag names seen in the raw text,
     without shredding (names inside comments count too: more may pass, never fewer)."""
     found = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(content_col), F.lit("")), F.lit(r"<([^/!?\s>][^\s>/]*)"), F.lit(1)))
+    return filter_of_names(docs, found)
+
+
+def filter_of_names(df: DataFrame, names: Column) -> DataFrame:
+    """``df`` with ``bloom_lo`` and ``bloom_hi`` of an array of names; null for null."""
 
     def all_of(high: bool) -> Column:
-        return F.aggregate(found, F.lit(0).cast("long"), lambda a, n: a.bitwiseOR(_word(_bits(n), high)))
+        return F.aggregate(names, F.lit(0).cast("long"), lambda a, n: a.bitwiseOR(_word(_bits(n), high)))
 
-    return docs.withColumn("bloom_lo", all_of(False)).withColumn("bloom_hi", all_of(True))
+    return df.withColumn("bloom_lo", all_of(False)).withColumn("bloom_hi", all_of(True))
 
 
 def possible_by_filter(stats: DataFrame, need: Selectivity) -> DataFrame:
