@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -346,6 +347,18 @@ def test_toxicity_weights_against_newton():
     assert np.allclose([*w, b], theta, atol=0.02)
 
 
+def test_toxicity_is_fitted_outside_the_driver(spark):
+    """The driver gets the model alone: no counts of all features, no rows."""
+    df = spark.range(3000).selectExpr("id AS doc_id", "concat('word ', sha2(string(id), 512), if(id % 3 = 0, ' hateful', ' friendly')) AS text", "int(id % 3 = 0) AS toxic")
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model.features) > 10 and most < 16 << 20
+
+
 def test_toxicity_on_held_out_rows(spark):
     """A score per row from text alone: accurate on rows it never learned from."""
     rnd = np.random.default_rng(5)

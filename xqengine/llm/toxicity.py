@@ -6,8 +6,9 @@ gets its naive Bayes log-count ratio r; the features whose ratio is surest are k
 logistic regression is fitted to the scaled features x * r.
 
 Fitting uses at most ``max_rows`` labelled rows (a documented bound: those with the
-smallest hash of their id), so the model and what the driver gets are bounded. Scoring
-reads every row whole, in the executors, with one table look-up for each byte and order.
+smallest hash of their id). One task adds up their counts and chooses the features, one
+learns the weights, so the driver gets no more than the model. Scoring reads every row
+whole, in the executors, with one table look-up for each byte and order.
 
 Only text is an input of a score. Defined results: null and '' get the score of a text
 without features; rows whose label is null aren't learned from; several labels of one id
@@ -30,8 +31,8 @@ from xqengine.llm.common import held_out, map_arrow, pieces, table
 
 ORDERS = (4, 5, 6)
 HASH_BITS = 20
-#: Characters that are looked at together.
-SEGMENT = 1 << 17
+#: Characters that are looked at together; (row, feature) pairs that are.
+SEGMENT, PAIRS = 1 << 17, 1 << 18
 _MULT, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -121,20 +122,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         if sum(rows):
             yield pa.RecordBatch.from_arrays([pa.array([rows[0]]), pa.array([rows[1]]), pa.array([zlib.compress(total.tobytes(), 1)])], ["neg", "pos", "counts"])
 
-    total, neg, pos = np.zeros((2, 1 << HASH_BITS), np.int64), 0, 0
-    for r in map_arrow(sample, count, "neg long, pos long, counts binary").collect():  # a bounded row a task
-        total += np.frombuffer(zlib.decompress(r["counts"]), np.int32).reshape(2, -1)
-        neg, pos = neg + r["neg"], pos + r["pos"]
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, neg, pos = np.zeros((2, 1 << HASH_BITS), np.int32), 0, 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                total += np.frombuffer(zlib.decompress(r["counts"]), np.int32).reshape(2, -1)
+                neg, pos = neg + r["neg"], pos + r["pos"]
+        chosen, ratio = sure_features(total, neg, pos, max_features) if neg and pos else (np.zeros(0, np.int64), np.zeros(0))
+        yield pa.RecordBatch.from_arrays([pa.array([neg]), pa.array([pos]), pa.array([chosen.astype("<i8").tobytes()]), pa.array([ratio.tobytes()])], ["neg", "pos", "chosen", "ratio"])
+
+    counts = map_arrow(sample, count, "neg long, pos long, counts binary").repartition(1)
+    found = map_arrow(counts, choose, "neg long, pos long, chosen binary, ratio binary").collect()  # a row of max_features at most
+    neg, pos = (found[0]["neg"], found[0]["pos"]) if found else (0, 0)
     if not neg or not pos:
         share = pos / max(1, neg + pos)
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    p, q = (total[1] + 0.5) / (pos + 1), (total[0] + 0.5) / (neg + 1)
-    ratio = np.log(p / q)
-    mean = (total[0] + total[1] + 1) / (neg + pos + 2)
-    sure = (p - q) / np.sqrt(mean * (1 - mean) * (1 / pos + 1 / neg))
-    sure[total.sum(0) < 5] = 0
-    chosen = np.argsort(-np.abs(sure), kind="stable")[:max_features]
-    chosen = np.sort(chosen[np.abs(sure[chosen]) > 3])
+    chosen, ratio = np.frombuffer(found[0]["chosen"], "<i8"), np.frombuffer(found[0]["ratio"])
     wanted = np.zeros(1 << HASH_BITS, bool)
     wanted[chosen] = True
 
@@ -146,13 +149,31 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 found = [f[cut[i] : cut[i + 1]].astype("<i4").tobytes() for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(found, pa.binary())], ["label", "features"])
 
-    rows = map_arrow(sample, extract, "label int, features binary").toPandas()
-    y = rows["label"].to_numpy() > 0
-    feats = [np.frombuffer(x, "<i4") for x in rows["features"]]
-    row = np.repeat(np.arange(len(feats)), [len(x) for x in feats])
-    col = np.searchsorted(chosen, np.concatenate(feats)) if len(row) else np.zeros(0, np.int64)
-    weights, bias = logistic(row, col, ratio[chosen], y.astype(float))
-    return Model(chosen, weights * ratio[chosen], bias)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.min_scalar_type(max(1, len(chosen)))
+        rows = sorted((y, x) for batch in batches for y, x in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True))  # so that sums don't depend on the order they came in
+        y = np.array([y > 0 for y, _ in rows], float)
+        feats = [np.searchsorted(chosen, np.frombuffer(x, "<i4")).astype(kind) for _, x in rows]
+        size = [len(x) for x in feats]
+        weights, bias = logistic(np.repeat(np.arange(len(feats), dtype=np.int32), size), np.concatenate([np.zeros(0, kind), *feats]), ratio, y)
+        yield pa.RecordBatch.from_arrays([pa.array([(weights * ratio).tobytes()]), pa.array([bias])], ["weights", "bias"])
+
+    rows = map_arrow(sample, extract, "label int, features binary").repartition(1)
+    learned = map_arrow(rows, learn, "weights binary, bias double").first()
+    return Model(chosen, np.frombuffer(learned["weights"]), learned["bias"])
+
+
+def sure_features(total: np.ndarray, neg: int, pos: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features whose share of rows differs most surely between the labels, ascending, and
+    their log-count ratios."""
+    some = np.flatnonzero(total.sum(0) >= 5)
+    n, y = total[:, some]
+    p, q = (y + 0.5) / (pos + 1), (n + 0.5) / (neg + 1)
+    mean = (n + y + 1) / (neg + pos + 2)
+    sure = np.abs((p - q) / np.sqrt(mean * (1 - mean) * (1 / pos + 1 / neg)))
+    best = np.argsort(-sure, kind="stable")[:most]
+    best = np.sort(best[sure[best] > 3])
+    return some[best], np.log(p[best] / q[best])
 
 
 def logistic(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, rounds: int = 300, ridge: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, float]:
@@ -160,10 +181,15 @@ def logistic(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray,
     the whole sample; the order of rows doesn't matter)."""
     n, w, b = max(len(y), 1), np.zeros(len(scale)), 0.0
     m, v = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
+    runs = [slice(a, a + PAIRS) for a in range(0, len(row), PAIRS)]
     for k in range(1, rounds + 1):
-        z = np.bincount(row, (w * scale)[col], len(y)) + b
-        err = sigmoid(z) - y
-        g = np.append(np.bincount(col, err[row], len(scale)) * scale / n + ridge * w, err.sum() / n)
+        x, z, g = w * scale, np.zeros(len(y)), np.zeros(len(scale))
+        for at in runs:
+            z += np.bincount(row[at], x[col[at]], len(y))
+        err = sigmoid(z + b) - y
+        for at in runs:
+            g += np.bincount(col[at], err[row[at]], len(scale))
+        g = np.append(g * scale / n + ridge * w, err.sum() / n)
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
