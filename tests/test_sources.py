@@ -1,6 +1,8 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from xqengine import api
+from xqengine.operators import shred as kernel
 from xqengine.operators import skipping
 from xqengine.operators.shred import shred
 from xqengine.sources.documents import read_files, read_records
@@ -46,6 +48,28 @@ def test_store_is_written_in_one_pass(spark, tmp_path):
     assert rows(of) == rows(skipping.doc_stats(direct).select(of.columns))
 
 
+def test_plain_documents_are_shredded_together(spark):
+    """Short documents without references, comments and the like take no loop over their
+    tokens, and give the same rows as one by one."""
+    plain = ["<?xml version='1.0'?><o k='1' s=\"F\"><c>7</c><l n='1'/>t</o>tail", "t<a><a></a><a>x</a></a><b/>", "<a xmlns='u' b=''></a>", "<o k='1' s='F'><c>7</c><l n='1'></l></o>"]
+    odd = ["", "text", "<a>&amp;</a>", "<a>\u00e9</a>", "<a><!--c--></a>", "<a><?p q?></a>", "<a>", "</a><a>", "<a", "<a></a></a><b>", "<?xmls x?><a/>"]
+    contents = [x.encode() for pair in zip(plain * 3, odd) for x in pair]
+    ids = pa.array(range(len(contents)))
+
+    def rows(parts):
+        parts = list(parts)
+        assert all(sum(counts) == b.num_rows and len(counts) == len(xs) for b, counts, xs in parts)
+        return sorted(repr(r) for part in parts for r in kernel._described(*part).to_pylist())
+
+    for names in (None, frozenset("a"), frozenset()):
+        one = kernel._Rows(names)
+        for raw in contents:
+            one.document(raw, False)
+        assert rows(kernel._shredded(ids, contents, names, {}, False)) == rows([(one.batch(ids), one.counts, contents)])
+    _, _, places, others = kernel._plain(ids, contents, kernel._Rows(None))
+    assert {contents[i].decode() for i in places} == set(plain) and {contents[i].decode() for i in others} == set(odd)
+
+
 def test_files_and_records(spark, tmp_path):
     (tmp_path / "x.xml").write_text("<r><row k='1'>a</row> <row>b</row><rows/></r>")
     docs = read_files(spark, str(tmp_path))
